@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, seed: str = "mix") -> Da
     n_slots = -(-total // block)
 
     # Documents end to end: chunks of the shuffled order, their sums, then running sums within a chunk.
-    n_chunks = max(16, n_docs // 20_000)
+    n_chunks = max(256, n_docs // 20_000)
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
     same = sized.source.eqNullSafe(targets.source)
     laid = sized.join(targets.select("source", "source_no"), same).select("row_no", "source_no", "size", key.alias("key"), F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(n_chunks)).alias("chunk"))
