@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash
 
-QUERIES = {"op1_mix_sources": mixing.op1_mix_sources}
+QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_simhash_components": simhash.op2_simhash_components,
+}
 ORACLES: dict[str, str] = {}
