@@ -101,16 +101,17 @@ class Partition:
 
 
 def bit_statistics(prints: DataFrame, longs: int) -> tuple[int, np.ndarray]:
-    """Rows of prints, and how many have both bit i and bit j: a fixed-size matrix, summed over all rows."""
+    """Rows of prints, and how many have both bit i and bit j of the same long: fixed-size matrices, summed over all rows."""
     n = 64 * longs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both, rows = np.zeros((n, n)), 0
+        both, rows = np.zeros((n, 64)), 0
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = np.ascontiguousarray(batch.iloc[at : at + 4096].to_numpy(np.int64))
                 bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-                both += bits.T @ bits
+                for k in range(0, n, 64):
+                    both[k : k + 64] += bits[:, k : k + 64].T @ bits[:, k : k + 64]
                 rows += len(part)
         yield pd.DataFrame({"i": [*range(n), n], "with_j": [*both, np.array([float(rows)])]})
 
@@ -121,7 +122,7 @@ def bit_statistics(prints: DataFrame, longs: int) -> tuple[int, np.ndarray]:
         if r.i == n:
             rows = int(r.row[0].x)
         else:
-            matrix[r.i] = [x.x for x in r.row]
+            matrix[r.i, r.i // 64 * 64 : r.i // 64 * 64 + 64] = [x.x for x in r.row]
     return rows, matrix
 
 
@@ -130,7 +131,7 @@ def _ordered(rows: int, both: np.ndarray) -> list[int]:
     p = np.diag(both) / max(rows, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = np.abs((both / max(rows, 1) - np.outer(p, p)) / np.outer(spread, spread))
-    np.fill_diagonal(corr, 0)
+    corr[(both == 0) | np.eye(len(p), dtype=bool)] = 0
     chain, left = [int(corr.sum(1).argmax())], set(range(len(p)))
     left.discard(chain[0])
     while left:
@@ -190,27 +191,32 @@ def plan(rows: int, both: np.ndarray, distance: int, counts: range, most: int =
     return best[1]
 
 
-def _key(part: Partition, number: int) -> Column:
-    """The partition's bits and its number, packed into a long."""
-    out = F.lit(number).cast("long") * F.lit(1 << 40)
-    for i, b in enumerate(part.bits):
-        bit = F.shiftrightunsigned(F.col(f"f{b // 64}"), b % 64).bitwiseAND(F.lit(1).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(bit, i))
-    return out
-
-
 def signatures(prints: DataFrame, parts: list[Partition], probing: bool, *columns: str) -> DataFrame:
-    """columns and key: a row for each key of each row. Indexed rows stand under their own key and, at a threshold of
-    2, those one bit from it; probing rows also under those at a threshold of 1."""
-    lists = []
-    for number, part in enumerate(parts):
-        if part.threshold < 0:
-            continue
-        own = _key(part, number)
-        wide = part.threshold == 2 or part.threshold == 1 and probing
-        masks = F.array(*(F.lit(m).cast("long") for m in [0, *(1 << i for i in range(len(part.bits)))])) if wide else F.array(F.lit(0).cast("long"))
-        lists.append(F.transform(masks, lambda m, own=own: own.bitwiseXOR(m)))
-    return prints.select(*columns, F.explode(F.concat(*lists)).alias("key"))
+    """columns (longs) and key: a row for each key of each row of prints, the partition's number above its bits. Indexed rows stand under their own key
+    and, at a threshold of 2, those one bit from it; probing rows also under those at a threshold of 1."""
+    used = [(number, p) for number, p in enumerate(parts) if p.threshold >= 0]
+    longs = sorted({b // 64 for _, p in used for b in p.bits} | {0})
+    fields = list(dict.fromkeys([*columns, *(f"f{i}" for i in longs)]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                words = {i: part[f"f{i}"].to_numpy(np.int64).view(np.uint64) for i in longs}
+                rows, keys = [], []
+                for number, p in used:
+                    own = np.full(len(part), number << 40, np.uint64)
+                    for i, b in enumerate(p.bits):
+                        own |= ((words[b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(i)
+                    wide = p.threshold == 2 or (p.threshold == 1 and probing)
+                    for mask in [0, *(1 << i for i in range(len(p.bits)))] if wide else [0]:
+                        rows.append(np.arange(len(part)))
+                        keys.append(own ^ np.uint64(mask))
+                out = part[list(columns)].iloc[np.concatenate(rows)]
+                yield out.assign(key=np.concatenate(keys).view(np.int64))
+
+    schema = ", ".join([*(f"{c} long" for c in columns), "key long"])
+    return prints.select(*fields).mapInPandas(run, schema)
 
 
 # ---------------------------------------------------------------- links between fingerprints
@@ -261,5 +267,103 @@ def components(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
     return prints.join(named, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- near copies at a similarity
+
+
+def bits_for(rows: int, similarity: float, recall: float) -> tuple[float, int, int]:
+    """Share of bits in which two sets of that Jaccard similarity and of one size differ; bits of a partition, which grow with the
+    logarithm of the rows so that chance buckets stay small; and how many partitions meet such a pair with that probability, in one at least."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = max(16, math.ceil(math.log2(max(rows, 1))) - 4)
+    return differ, width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** width))
+
+
+def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int, bucket: int = BUCKET, rounds: int = 3) -> DataFrame:
+    """Links (a, b) between ids of nodes (id, f0, ...) that share a key of parts and differ in most bits or fewer of all longs.
+
+    In buckets of at most bucket rows every pair is checked. In a crowded bucket each row is checked against the one that shares most crowded
+    buckets, which is the text the others are copies of, if there is one, and against the least id. Rows that this leaves
+    without any link go through the same again among themselves, and after rounds of that every pair of what is left is checked.
+    """
+    first = ["f0", "f1"][:longs]
+    coarse = most * 64 * len(first) / (64 * longs)
+    coarse += 3 * math.sqrt(coarse)
+    every = [f"f{i}" for i in range(longs)]
+
+    def differing(fields: list[str]) -> Column:
+        bits = [F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in fields]
+        return sum(bits[1:], bits[0])
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b), on all bits."""
+        left = nodes.select(F.col("id").alias("a"), *[F.col(f).alias(f"a{f}") for f in every])
+        right = nodes.select(F.col("id").alias("b"), *[F.col(f).alias(f"b{f}") for f in every])
+        return pairs.join(left, "a").join(right, "b").where(differing(every) <= most).select("a", "b")
+
+    def sides(rows: DataFrame, probing: bool, name: str) -> DataFrame:
+        found = signatures(rows, parts, probing, "id", *first)
+        return found.select("key", F.col("id").alias(name), *[F.col(f).alias(f"{name}{f}") for f in first])
+
+    found, left = None, nodes
+    for turn in range(rounds + 1):
+        index, probe = sides(left, False, "b"), sides(left, True, "a")
+        sizes = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+        crowded = written(sizes, "crowded")
+        last = turn == rounds or crowded.isEmpty()
+        calm = probe if last else probe.join(crowded, "key", "left_anti")
+        pairs = calm.join(index, "key").where((F.col("a") < F.col("b")) & (differing(first) <= coarse)).select("a", "b").distinct()
+        links = written(checked(pairs), "links")
+        found = links if found is None else found.union(links)
+        if last:
+            break
+        busy = written(index.join(crowded, "key").select("key", F.col("b").alias("id"), "n"), "busy")
+        rank = busy.groupBy("id").agg(F.sum("n").alias("rank"))
+        ranked = busy.select("key", "id").join(rank, "id")
+        pivots = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("no"))).alias("top"), F.min("id").alias("low"))
+        pivots = pivots.select("key", F.explode(F.array_distinct(F.array(-F.col("top.no"), F.col("low")))).alias("p"))
+        stars = busy.select("key", "id").join(pivots, "key").where("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        stars = written(checked(stars), "links")
+        found = found.union(stars)
+        linked = found.select("a").union(found.select("b")).distinct()
+        rest = busy.select("id").distinct().join(linked.withColumnRenamed("a", "id"), "id", "left_anti")
+        left = written(nodes.join(rest, "id", "left_semi"), "rest")
+        if left.isEmpty():
+            break
+    return found.distinct()
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """doc_id and group, the smallest doc_id among the near copies that links reach, for each distinct doc_id of docs that is not null.
+
+    SimHash over the distinct shingles of width words. As many bits are taken as let recall of the pairs at just that similarity (and nearly all
+    more similar ones) meet in a partition; which bits stand together and each partition's threshold come from plan(), and full
+    fingerprints decide. Texts of one fingerprint are one node. Empty and null texts have fingerprint zero and are one group.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    differ, bits, m = bits_for(rows.count(), similarity, recall)
+    longs = -(-m * bits // 64)
+    every = [f"f{i}" for i in range(longs)]
+    prints = written(fingerprints(rows, width, longs, distinct=True), "prints")
+    nodes = written(prints.groupBy(*every).agg(F.min("doc_id").alias("id")), "nodes")
+    n, both = bit_statistics(nodes, longs)
+    count = 64 * longs // bits
+    parts = plan(n, both, count - 1, range(count, count + 1), most=1)
+    links = near_links(nodes, longs, parts, math.floor(differ * 64 * longs))
+    of = connected_components(links)
+    named = nodes.join(of, nodes.id == of.node, "left").select(*every, F.coalesce("component", "id").alias("group"))
+    return prints.join(named, every).groupBy("doc_id").agg(F.min("group").alias("group"))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group the row of the smallest doc_id stays, and one row of a doc_id that repeats. Rows without a doc_id stay."""
+    groups = written(near_groups(docs, width, similarity), "groups")
+    keepers = groups.where(F.col("doc_id") == F.col("group")).select("doc_id")
+    kept = docs.join(keepers, "doc_id", "left_semi").select(docs.columns)
+    repeated = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, distance=2)
