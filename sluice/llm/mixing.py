@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, seed: str = "mix") -> Da
     of its own, last in order; repeated rows and ids are separate documents; an empty table gives none.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     sized = written(sized.withColumn("row_no", F.monotonically_increasing_id()), "sizes")
     targets = written(source_targets(sized, weights, float(cap)), "targets")
     total, n_docs = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
@@ -93,7 +93,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = 3, seed: str = "mix") -> Da
 
     taken = pieces.join(uses, ["source_no", "block"], "left").groupBy("row_no").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"), F.count("*").alias("blocks"))
     out = sized.join(targets.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).join(taken, "row_no", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", F.coalesce("blocks", F.lit(0)).alias("blocks"), "text_hash")
+
+
+def repeated(docs: DataFrame, weights=WEIGHTS, cap: int = 3) -> DataFrame:
+    """docs as often as mix() takes them: the words taken over the document's size, rounded up. What it takes no word of goes.
+
+    Documents are told apart by doc_id, source and text; equal rows are taken together.
+    """
+    keys = ["__id", "__source", "__hash"]
+    copies = mix(docs, weights, cap).where("taken > 0").select(F.struct("doc_id").alias("__id"), F.struct("source").alias("__source"), F.col("text_hash").alias("__hash"), F.ceil(F.col("taken") / F.col("size")).alias("n"))
+    copies = copies.groupBy(*keys).agg(F.sum("n").cast("int").alias("__n"))
+    keyed = docs.withColumns({"__id": F.struct("doc_id"), "__source": F.struct("source"), "__hash": F.xxhash64("text")})
+    return keyed.dropDuplicates(keys).join(copies, keys).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
