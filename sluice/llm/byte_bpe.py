@@ -12,11 +12,13 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import Recent, table
 
 #: A space before anything but white space always starts a match of the usual patterns.
 _GAP = re.compile(r" (?=\S)")
-CACHE = 300_000
+CACHE = 400_000
+#: Prefixes that stay stored with their last tokens.
+NODES = 1_000_000
 
 
 class PrefixBPE:
@@ -33,6 +35,9 @@ class PrefixBPE:
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, bool], tuple[tuple[int, float], ...]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._whole: dict[int, bool] = {}
+        self._children: dict[int, int] = {}  # prefix number * 256 + byte: the longer prefix's number
+        self._last: list[int] = [-1]
 
     # -- which tokens stand side by side
 
@@ -47,7 +52,10 @@ class PrefixBPE:
         return self._halves[token]
 
     def made(self, token: int) -> bool:
-        return len(self.bytes_of[token]) == 1 or self.halves(token) is not None
+        known = self._whole.get(token)
+        if known is None:
+            known = self._whole[token] = len(self.bytes_of[token]) == 1 or self.halves(token) is not None
+        return known
 
     def _spine(self, token: int, right: bool) -> tuple[tuple[int, float], ...]:
         """The token's outermost parts on one side, smallest first, each with the rank at which it is merged away."""
@@ -99,7 +107,7 @@ class PrefixBPE:
                 if token is None or (below is not None and token >= below) or (start and last[start - 1] < 0):
                     continue
                 if self.made(token) and (start == 0 or (self.fits(last[start - 1], token) if below is None else self._stand(last[start - 1], token, below))):
-                    found = token
+                    found = token  # the first that fits is the only one
                     break
             last.append(found)
         return last
@@ -138,11 +146,23 @@ class PrefixBPE:
         return edited, fresh
 
     def encode_piece(self, raw: bytes) -> list[int]:
-        """Tokens of a piece: itself if it is a token, else the walk back from its last prefix."""
+        """Tokens of a piece: itself if it is a token, else the walk back from its last prefix. Prefixes are stored, so pieces that begin alike append to what is known."""
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        out = self._walk(raw, self.prefixes(raw))
+        if len(self._last) > NODES:
+            self._children, self._last = {}, [-1]
+        children, stored, last, at = self._children, self._last, [], 0
+        for end, byte in enumerate(raw, 1):
+            number = children.get(at << 8 | byte)
+            if number is None:
+                self._extend(raw[:end], last)
+                number = children[at << 8 | byte] = len(stored)
+                stored.append(last[-1])
+            else:
+                last.append(stored[number])
+            at = number
+        out = self._walk(raw, last)
         if out is None:
             raise ValueError("the vocabulary lacks single bytes")
         return out
@@ -154,37 +174,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class TextBPE:
-    """Encodes texts piece by piece; pieces of a text that were seen before are looked up."""
+    """Encodes texts piece by piece; stretches between spaces, and pieces, that were seen before are looked up."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.bpe, self.pattern = PrefixBPE(ranks), regex.compile(pattern)
-        self.seen: dict[str, tuple[int, str]] = {}
-
-    def _piece(self, text: str) -> tuple[int, str]:
-        ids: list[int] = []
-        for match in self.pattern.finditer(text):
-            ids += self.bpe.encode_piece(match.group().encode("utf-8"))
-        return len(ids), ",".join(map(str, ids))
+        self.pieces = Recent(lambda p: ",".join(map(str, self.bpe.encode_piece(p.encode("utf-8")))), CACHE)
+        self.stretches = Recent(lambda s: ",".join(map(self.pieces.__getitem__, self.pattern.findall(s))), CACHE)
 
     def encode(self, text: str | None) -> tuple[int, str]:
         """Number of tokens, and their ids in decimal, joined by commas."""
         if not text:
             return 0, ""
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        seen, total, out = self.seen, 0, []
         first, *rest = _GAP.split(text)
-        pieces = [first] if first else []
-        pieces += [" " + p for p in rest]
-        for piece in pieces:
-            found = seen.get(piece)
-            if found is None:
-                found = self._piece(piece)
-                if len(piece) <= 64:
-                    seen[piece] = found
-            total += found[0]
-            out.append(found[1])
-        return total, ",".join(out)
+        parts = [first] if first else []
+        parts += [" " + p for p in rest]
+        joined = ",".join(map(self.stretches.__getitem__, parts))
+        return joined.count(",") + 1, joined
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bpe.bytes_of.__getitem__, ids))
@@ -227,7 +232,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFram
                 n, joined = bpe.encode(text)
                 counts.append(n)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded = b"".join([by_name[i] for i in joined.split(",")]) if joined else b""
+                decoded = b"".join(map(by_name.__getitem__, joined.split(","))) if joined else b""
                 texts.append(hashlib.sha256(decoded).hexdigest())
             out = batch[list(keep)].copy()
             out["n_tokens"], out["ids_sha256"], out["decoded_sha256"] = counts, ids, texts

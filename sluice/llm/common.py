@@ -49,6 +49,28 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+class Recent(dict):
+    """Values of make by key, computed once while a key stays in use: full, it becomes the older of two generations, from which keys come back when asked for.
+
+    Keys of over 64 characters are not kept. map(recent.__getitem__, keys) runs without Python code for keys that are there.
+    """
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is its smallest reachable node.
 
