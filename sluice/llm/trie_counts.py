@@ -12,12 +12,12 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import Recent, table
 
 #: A space before anything but white space always starts a match of the usual patterns.
 _GAP = re.compile(r" (?=\S)")
 CACHE = 300_000
-NODES = 400_000
+NODES = 1_000_000
 MANDELBROT = 2.7
 
 
@@ -36,41 +36,43 @@ class PrefixTrie:
     """
 
     def __init__(self, scores: dict[bytes, float]):
-        self.scores, self.longest = scores, max(map(len, scores))
+        # Every end of a token, with the token's score or, where it is none itself, None: a longer end that is missing here ends the search.
+        self.ends: dict[bytes, float | None] = {token[i:]: None for token in scores for i in range(len(token))}
+        self.ends.update(scores)
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}  # node * 256 + byte
         self.forward, self.tokens = [0.0], [0]
-        self.terminal: dict[bytes, tuple[int, float]] = {}
+        self.terminal: dict[int, tuple[int, float]] = {}  # by node
 
     def insert(self, raw: bytes) -> tuple[int, float]:
-        """Number of tokens and log-probability of raw, stored at its terminal node."""
-        known = self.terminal.get(raw)
-        if known is not None:
-            return known
+        """Number of tokens and log-probability of raw, stored by its terminal node."""
         if len(self.forward) > NODES:
             self.clear()
-        node, path = 0, [0]
+        node, path, ends, forward, tokens = 0, [0], self.ends.get, self.forward, self.tokens
         for end in range(1, len(raw) + 1):
             key = node << 8 | raw[end - 1]
             node = self.child.get(key, 0)
             if not node:
                 best, count = -math.inf, 0
-                for start in range(max(0, end - self.longest), end):
-                    score = self.scores.get(raw[start:end])
-                    if score is not None:
-                        before = path[start]
-                        score, n = self.forward[before] + score, self.tokens[before] + 1
-                        if score > best or score == best and n < count:
-                            best, count = score, n
+                for start in range(end - 1, -1, -1):
+                    score = ends(raw[start:end], 0)
+                    if score is None:
+                        continue
+                    if not score:
+                        break
+                    before = path[start]
+                    score, n = forward[before] + score, tokens[before] + 1
+                    if score > best or score == best and n < count:
+                        best, count = score, n
                 if not count:
                     raise ValueError("the vocabulary lacks a byte")
-                node = self.child[key] = len(self.forward)
-                self.forward.append(best)
-                self.tokens.append(count)
+                node = self.child[key] = len(forward)
+                forward.append(best)
+                tokens.append(count)
             path.append(node)
-        found = self.terminal[raw] = self.tokens[node], self.forward[node]
+        found = self.terminal[node] = self.terminal.get(node) or (self.tokens[node], self.forward[node])
         return found
 
 
@@ -79,31 +81,22 @@ class TextCounter:
 
     def __init__(self, scores: dict[bytes, float], pattern: str):
         self.trie, self.pattern = PrefixTrie(scores), regex.compile(pattern)
-        self.seen: dict[str, tuple[int, int, float]] = {}
+        self.pieces = Recent(lambda p: self.trie.insert(p.encode("utf-8", "surrogatepass")), CACHE)
+        self.stretches = Recent(self._stretch, CACHE)
 
     def _stretch(self, text: str) -> tuple[int, int, float]:
-        found = [self.trie.insert(p.encode("utf-8", "surrogatepass")) for p in self.pattern.findall(text)]
+        found = list(map(self.pieces.__getitem__, self.pattern.findall(text)))
         return len(found), sum(n for n, _ in found), sum(s for _, s in found)
 
     def count(self, text: str | None) -> tuple[int, int, float]:
         """Pre-tokens, tokens and log-probability of a whole text."""
         if not text:
             return 0, 0, 0.0
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        if len(self.trie.terminal) > CACHE:
-            self.trie.clear()
         first, *rest = _GAP.split(text)
-        pieces, seen, found = [first] if first else [], self.seen, []
-        pieces += [" " + p for p in rest]
-        for piece in pieces:
-            known = seen.get(piece)
-            if known is None:
-                known = self._stretch(piece)
-                if len(piece) <= 64:
-                    seen[piece] = known
-            found.append(known)
-        return sum(f[0] for f in found), sum(f[1] for f in found), math.fsum(f[2] for f in found)
+        parts = [first] if first else []
+        parts += [" " + p for p in rest]
+        pieces, tokens, scores = zip(*map(self.stretches.__getitem__, parts), strict=True)
+        return sum(pieces), sum(tokens), math.fsum(scores)
 
 
 @lru_cache(2)
