@@ -63,12 +63,15 @@ class Recent(dict):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
+        self.put(key, found)
+        return found
+
+    def put(self, key, found) -> None:
         if len(key) <= 64:
             if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = found
-        return found
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

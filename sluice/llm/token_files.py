@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import scratch_path, table
+from .common import Recent, scratch_path, table
 
 BLOCK = 1 << 16
-CACHE = 300_000
+CACHE = 400_000
 MAGIC = b"BPL1"
 #: Reflected polynomial of CRC-32 (a fixed value).
 POLYNOMIAL = 0xEDB88320
@@ -76,34 +77,61 @@ def joined_crc(first: int, second: int, length: int) -> int:
 # ---------------------------------------------------------------- encoding
 
 
+#: Stands between stretches that are encoded together: one token, which no stretch without the character has.
+MARK = "\x01"
+TOGETHER = 512
+
+
 class CachedTokenizer:
     """Encodes by the tokenizers library; the ids of stretches between spaces are looked up once they are known.
 
     The vocabulary's normaliser makes white space a single space and its pattern never matches one, so a text's ids are those of
-    its stretches, one after the other.
+    its stretches, one after the other. A comma or full stop after a letter is a match of its own at a stretch's end.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.seen = Recent(lambda piece: b"".join(map(self._alone, self._halves(piece))), CACHE)
+        self.mark = self._ids(MARK)
+        if len(self.mark) != 1:
+            raise ValueError("the mark is not one token of this vocabulary")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _alone(self, piece: str) -> bytes:
+        return self._ids(piece).tobytes()
+
+    @staticmethod
+    def _halves(piece: str) -> tuple[str, ...]:
+        return (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ".," and piece[-2].lower().isalpha() else (piece,)
 
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        pieces = (text or "").replace("\n", " ").split(" ")
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the unknown ones of pieces together and keep their ids."""
         seen = self.seen
-        new = [p for p in set(pieces) if p not in seen]
-        if new:
-            if len(seen) > CACHE:
-                kept = {p: seen[p] for p in set(pieces) if p in seen}
-                seen.clear()
-                seen.update(kept)
-                seen[""] = b""
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for piece, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    seen[piece] = np.array(found.ids, "<u4").tobytes()
-        return b"".join([seen[p] for p in pieces])
+        new = [p for p in pieces if p not in seen and p not in seen.older]
+        parts = {h for p in new for h in self._halves(p)}
+        known = {p: seen[p] for p in parts if p in seen or p in seen.older}
+        todo = [p for p in parts if p not in known and MARK not in p]
+        for at in range(0, len(todo), TOGETHER):
+            part = todo[at : at + TOGETHER]
+            ids = self._ids(f" {MARK} ".join(part))
+            ends = np.nonzero(ids == self.mark[0])[0].tolist()
+            if len(ends) == len(part) - 1:
+                raw = ids.tobytes()
+                known.update((p, raw[4 * (a + 1) : 4 * b]) for p, a, b in zip(part, [-1, *ends], [*ends, len(ids)], strict=True))
+        for piece in new:
+            halves = self._halves(piece)
+            seen.put(piece, b"".join([known[h] if h in known else self._alone(h) for h in halves]))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.seen.__getitem__, pieces)) for pieces in split]
 
 
 @lru_cache(2)
@@ -125,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, encode = TaskContext.get().partitionId(), tokenizer(vocabulary).encode
+        part, encode_all = TaskContext.get().partitionId(), tokenizer(vocabulary).encode_all
         end, held, size = np.array([end_id], "<u4").tobytes(), [], 0
         chunk, first, docs_in, doc_no = 0, 0, [], -1
 
@@ -137,8 +165,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             return pd.DataFrame([row], columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
-                ids, doc_no, piece = encode(text) + end, doc_no + 1, 0
+            texts, encoded = batch["text"].tolist(), []
+            for i in range(0, len(texts), 256):
+                encoded += encode_all(texts[i : i + 256])
+            for doc_id, own in zip(batch["doc_id"].astype(object), encoded, strict=True):
+                ids, doc_no, piece = own + end, doc_no + 1, 0
                 doc_id, at, n = None if pd.isna(doc_id) else int(doc_id), 0, len(ids) // 4
                 while at < n:
                     take = min(n - at, BLOCK - size)
