@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import windows
+from .plans import basic, keyed, streams, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for plan in (windows,):
+for plan in (windows, basic, keyed, streams):
     QUERIES |= plan.QUERIES
     ORACLES |= plan.ORACLES
