@@ -103,9 +103,11 @@ def repeated(docs: DataFrame, weights=WEIGHTS, cap: int = 3) -> DataFrame:
     """
     keys = ["__id", "__source", "__hash"]
     copies = mix(docs, weights, cap).where("taken > 0").select(F.struct("doc_id").alias("__id"), F.struct("source").alias("__source"), F.col("text_hash").alias("__hash"), F.ceil(F.col("taken") / F.col("size")).alias("n"))
-    copies = copies.groupBy(*keys).agg(F.sum("n").cast("int").alias("__n"))
-    keyed = docs.withColumns({"__id": F.struct("doc_id"), "__source": F.struct("source"), "__hash": F.xxhash64("text")})
-    return keyed.dropDuplicates(keys).join(copies, keys).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(docs.columns)
+    copies = copies.groupBy(*keys).agg(F.sum("n").cast("int").alias("__n"), F.count("*").alias("__rows"))
+    keyed = docs.withColumns({"__id": F.struct("doc_id"), "__source": F.struct("source"), "__hash": F.xxhash64("text")}).join(copies, keys)
+    # Of equal rows, which are few, one stands for all.
+    rows = keyed.where("__rows = 1").unionByName(keyed.where("__rows > 1").dropDuplicates(keys))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
