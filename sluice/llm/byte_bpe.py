@@ -216,7 +216,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
                 out["ids"] = [[int(i) for i in s.split(",")] if s else [] for _, s in found]
                 yield out
 
-    return docs.select(*keep, "text").mapInPandas(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
