@@ -18,7 +18,7 @@ from .common import Recent, table
 _GAP = re.compile(r" (?=\S)")
 CACHE = 400_000
 #: Prefixes that stay stored with their last tokens.
-NODES = 1_000_000
+NODES = 600_000
 
 
 class PrefixBPE:
@@ -34,7 +34,7 @@ class PrefixBPE:
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, bool], tuple[tuple[int, float], ...]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self._children: dict[int, int] = {}  # prefix number * 256 + byte: the longer prefix's number
         self._last: list[int] = [-1]
@@ -71,9 +71,12 @@ class PrefixBPE:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a then b is what their bytes together encode to."""
-        known = self._fits.get((a, b))
+        pair = a << 32 | b
+        known = self._fits.get(pair)
         if known is None:
-            known = self._fits[a, b] = self._stand(a, b, float("inf"))
+            if len(self._fits) > CACHE:
+                self._fits.clear()
+            known = self._fits[pair] = self._stand(a, b, float("inf"))
         return known
 
     def _stand(self, a: int, b: int, below: float) -> bool:
@@ -178,8 +181,14 @@ class TextBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.bpe, self.pattern = PrefixBPE(ranks), regex.compile(pattern)
-        self.pieces = Recent(lambda p: ",".join(map(str, self.bpe.encode_piece(p.encode("utf-8")))), CACHE)
-        self.stretches = Recent(lambda s: ",".join(map(self.pieces.__getitem__, self.pattern.findall(s))), CACHE)
+        self.known = Recent(self._joined, CACHE)
+
+    def _joined(self, stretch: str) -> str:
+        """Ids of a stretch of text; a piece by itself matches as it does in a text, so stretches and pieces share what is known."""
+        pieces = self.pattern.findall(stretch)
+        if len(pieces) == 1:
+            return ",".join(map(str, self.bpe.encode_piece(stretch.encode("utf-8"))))
+        return ",".join(map(self.known.__getitem__, pieces))
 
     def encode(self, text: str | None) -> tuple[int, str]:
         """Number of tokens, and their ids in decimal, joined by commas."""
@@ -188,7 +197,7 @@ class TextBPE:
         first, *rest = _GAP.split(text)
         parts = [first] if first else []
         parts += [" " + p for p in rest]
-        joined = ",".join(map(self.stretches.__getitem__, parts))
+        joined = ",".join(map(self.known.__getitem__, parts))
         return joined.count(",") + 1, joined
 
     def decode(self, ids: list[int]) -> bytes:

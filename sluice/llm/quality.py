@@ -229,7 +229,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column | None = No
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = ACCEPT) -> DataFrame:
     """The rows of docs that score least or more under a model of all labels; every row if there are none. Texts are not shuffled."""
-    model = learnt(with_statistics(docs.select("doc_id", "text"), "doc_id"), labels)
+    stats = written(with_statistics(docs.select("doc_id", "text"), "doc_id"), "stats")
+    model = learnt(stats, labels)
+    drop_scratch(stats)
     if model is None:
         return docs
 
