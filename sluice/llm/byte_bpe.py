@@ -18,7 +18,7 @@ from .common import Recent, table
 _GAP = re.compile(r" (?=\S)")
 CACHE = 400_000
 #: Prefixes that stay stored with their last tokens.
-NODES = 600_000
+NODES = 1_000_000
 
 
 class PrefixBPE:
