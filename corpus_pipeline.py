@@ -10,16 +10,24 @@ from sluice.llm import byte_bpe, mixing, passages, quality, simhash
 from sluice.llm.common import scratch_path, table
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: fewer of them go to a Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from all labels, accepts. A row stays or goes by its own text, so repeated ids need no care."""
+    small_batches(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return passages.drop_repeats(docs)
 
 
@@ -30,6 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document of the mix."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode(docs, path, public_tokenizers.PATTERN, "doc_id", "source")
 

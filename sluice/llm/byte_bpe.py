@@ -148,13 +148,17 @@ class PrefixBPE:
                 return edited, fresh + last[old + 1 :]
         return edited, fresh
 
+    def forget(self) -> None:
+        self._children, self._last = {}, [-1]
+        self._fits.clear()
+
     def encode_piece(self, raw: bytes) -> list[int]:
         """Tokens of a piece: itself if it is a token, else the walk back from its last prefix. Prefixes are stored, so pieces that begin alike append to what is known."""
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
         if len(self._last) > NODES:
-            self._children, self._last = {}, [-1]
+            self.forget()
         children, stored, last, at = self._children, self._last, [], 0
         for end, byte in enumerate(raw, 1):
             number = children.get(at << 8 | byte)
@@ -200,6 +204,11 @@ class TextBPE:
         joined = ",".join(map(self.known.__getitem__, parts))
         return joined.count(",") + 1, joined
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known.older = {}
+        self.bpe.forget()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bpe.bytes_of.__getitem__, ids))
 
@@ -224,6 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
                 out["n_tokens"] = [n for n, _ in found]
                 out["ids"] = [[int(i) for i in s.split(",")] if s else [] for _, s in found]
                 yield out
+        bpe.forget()  # the worker may go on with something else
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, schema)
 
