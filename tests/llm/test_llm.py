@@ -121,6 +121,19 @@ def test_passages_equal_brute_force(spark):
     assert all(sum(s in (kept[i] or "") for i in range(60)) == 1 for s in shared)
 
 
+def test_passages_with_differing_words_between(spark):
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for i in range(30):
+        one, two = prose(rng, 70), prose(rng, 70)
+        between = [prose(rng, 20) for _ in range(2)]
+        rows += [(1000 + 2 * i + k, " ".join([prose(rng, 30), one, between[k], two, prose(rng, 30)]), "a") for k in range(2)]
+        pairs.append((one, two))
+    kept = {r.doc_id: r.text for r in passages.drop_repeats(made(spark, rows)).collect()}
+    left = sum(s in kept.get(1001 + 2 * i, "") for i, pair in enumerate(pairs) for s in pair)
+    assert left <= 2
+
+
 def test_trie_counts_equal_brute_force():
     rng = random.Random(2)
     scores = trie_counts.zipf_scores([bytes([b]) for b in b"abc"] + [bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 5))) for _ in range(30)])
