@@ -134,6 +134,32 @@ def test_passages_with_differing_words_between(spark):
     assert left <= 2
 
 
+def test_every_run_of_equal_words_has_an_anchor():
+    rng = random.Random(13)
+    run = passages.equal_words()
+    assert run == 25
+    for k in range(300):
+        shared = (prose(rng, run) if k % 3 else " ".join([prose(rng, k % 7 + 1)] * run)).split()[:run]
+        texts = [[*prose(rng, 40).split(), *shared, *prose(rng, 40).split()] for _ in range(2)]
+        keys = [{key for at, key in zip(*passages.anchors_of(w, run), strict=True) if 40 <= at <= 40 + run - passages.WINDOW} for w in texts]
+        assert keys[0] & keys[1]
+
+
+def test_passages_with_an_edit_and_in_short_periods(spark):
+    rng = random.Random(14)
+    rows, edited = [], {}
+    for i in range(40):
+        words = prose(rng, 60 if i % 2 else 50).split()
+        changed = [*words[:25], "changed", *words[26:]]
+        rows += [(1000 + 2 * i + k, " ".join([prose(rng, 40), " ".join(w), prose(rng, 40)]), "a") for k, w in enumerate((words, changed))]
+        edited[1001 + 2 * i] = " ".join(changed)
+    line = prose(rng, 4)
+    rows += [(2000 + k, " ".join([prose(rng, 40), *[line] * 30, prose(rng, 40)]), "a") for k in range(2)]
+    kept = {r.doc_id: r.text for r in passages.drop_repeats(made(spark, rows)).collect()}
+    assert not [i for i, s in edited.items() if "changed" in kept[i].split()]
+    assert line in kept[2000] and line not in kept[2001]
+
+
 def test_trie_counts_equal_brute_force():
     rng = random.Random(2)
     scores = trie_counts.zipf_scores([bytes([b]) for b in b"abc"] + [bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 5))) for _ in range(30)])
