@@ -160,6 +160,26 @@ def test_passages_with_an_edit_and_in_short_periods(spark):
     assert line in kept[2000] and line not in kept[2001]
 
 
+def test_passages_behind_an_earlier_quote(spark):
+    rng = random.Random(15)
+    rows, pairs = [], {}
+    for i in range(30):
+        shared = prose(rng, 60).split()
+        quotes = [shared[:40], shared[20:], shared[10:50]]
+        rows += [(100 * i + k, " ".join([prose(rng, 40), *q, prose(rng, 40)]), "a") for k, q in enumerate(quotes)]
+        rows += [(100 * i + k, " ".join([prose(rng, 40), *shared, prose(rng, 40)]), "a") for k in (50, 51)]
+        pairs[100 * i + 51] = " ".join(shared)
+    line = prose(rng, 30).split()
+    rows += [(10000 + i, " ".join([prose(rng, 40), *line, prose(rng, 40)]), "a") for i in range(100)]
+    long = " ".join([*line, prose(rng, 25)])
+    rows += [(11000 + k, " ".join([prose(rng, 40), long, prose(rng, 40)]), "a") for k in range(2)]
+    kept = {r.doc_id: r.text for r in passages.drop_repeats(made(spark, rows)).collect()}
+    assert not [i for i, s in pairs.items() if s in kept[i]]
+    assert long in kept[11000] and " ".join(line) not in kept[11001]
+    texts = {i: t for i, t, _ in rows}
+    assert all(kept[i] == texts[i] for i in texts if i not in pairs and i != 11001)
+
+
 def test_trie_counts_equal_brute_force():
     rng = random.Random(2)
     scores = trie_counts.zipf_scores([bytes([b]) for b in b"abc"] + [bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 5))) for _ in range(30)])
