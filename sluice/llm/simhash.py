@@ -278,8 +278,23 @@ def bits_for(rows: int, similarity: float, recall: float) -> tuple[float, int, i
     return differ, width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** width))
 
 
-def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int, bucket: int = BUCKET, rounds: int = 3) -> DataFrame:
-    """Links (a, b) between ids of nodes (id, f0, ...) that share a key of parts and differ in most bits or fewer of all longs.
+def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose texts (id, text) have that exact Jaccard similarity of their sets of word shingles, or more."""
+    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("atext")), texts.select(F.col("id").alias("b"), F.col("text").alias("btext"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch["atext"], batch["btext"], strict=True):
+                p, q = set(shingles(words_of_text(x), width)), set(shingles(words_of_text(y), width))
+                near.append(len(p & q) >= similarity * len(p | q))
+            yield batch.loc[near, ["a", "b"]]
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "atext", "btext").mapInPandas(run, "a long, b long")
+
+
+def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int, texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, rounds: int = 3) -> DataFrame:
+    """Links (a, b) between ids of nodes (id, f0, ...) that share a key of parts, differ in most bits or fewer of all longs and whose texts (id, text) are alike().
 
     In buckets of at most bucket rows every pair is checked. In a crowded bucket each row is checked against the one that shares most crowded
     buckets, which is the text the others are copies of, if there is one, and against the least id. Rows that this leaves
@@ -295,10 +310,11 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
         return sum(bits[1:], bits[0])
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b), on all bits."""
+        """Pairs (a, b), on all bits and then on the texts."""
         left = nodes.select(F.col("id").alias("a"), *[F.col(f).alias(f"a{f}") for f in every])
         right = nodes.select(F.col("id").alias("b"), *[F.col(f).alias(f"b{f}") for f in every])
-        return pairs.join(left, "a").join(right, "b").where(differing(every) <= most).select("a", "b")
+        close = pairs.join(left, "a").join(right, "b").where(differing(every) <= most).select("a", "b")
+        return alike(close, texts, width, similarity)
 
     def sides(rows: DataFrame, probing: bool, name: str) -> DataFrame:
         found = signatures(rows, parts, probing, "id", *first)
@@ -332,23 +348,26 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
     return found.distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """doc_id and group, the smallest doc_id among the near copies that links reach, for each distinct doc_id of docs that is not null.
 
     SimHash over the distinct shingles of width words. As many bits are taken as let recall of the pairs at just that similarity (and nearly all
-    more similar ones) meet in a partition; which bits stand together and each partition's threshold come from plan(), and full
-    fingerprints decide. Texts of one fingerprint are one node. Empty and null texts have fingerprint zero and are one group.
+    more similar ones) meet in a partition; which bits stand together and each partition's threshold come from plan(). Pairs up to three standard
+    deviations beyond the expected distance go on to the exact similarity, which decides. Texts of one fingerprint are one node. Empty and null texts have fingerprint zero and are one group.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     differ, bits, m = bits_for(rows.count(), similarity, recall)
     longs = -(-m * bits // 64)
     every = [f"f{i}" for i in range(longs)]
-    prints = written(fingerprints(rows, width, longs, distinct=True), "prints")
-    nodes = written(prints.groupBy(*every).agg(F.min("doc_id").alias("id")), "nodes")
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    prints = written(fingerprints(hashed, width, longs, distinct=True, keep=("doc_id", "h")), "prints")
+    nodes = written(prints.groupBy(*every).agg(F.min(F.struct("doc_id", "h")).alias("low")).select(*every, F.col("low.doc_id").alias("id"), "low.h"), "nodes")
+    texts = hashed.join(nodes.select(F.col("id").alias("doc_id"), "h"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("id"), "h", "text")
     n, both = bit_statistics(nodes, longs)
     count = 64 * longs // bits
     parts = plan(n, both, count - 1, range(count, count + 1), most=1)
-    links = near_links(nodes, longs, parts, math.floor(differ * 64 * longs))
+    most = math.floor(differ * 64 * longs + 3 * math.sqrt(differ * (1 - differ) * 64 * longs))
+    links = near_links(nodes, longs, parts, most, texts.select("id", "text"), width, similarity)
     of = connected_components(links)
     named = nodes.join(of, nodes.id == of.node, "left").select(*every, F.coalesce("component", "id").alias("group"))
     return prints.join(named, every).groupBy("doc_id").agg(F.min("group").alias("group"))

@@ -96,6 +96,20 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(kept & {i for i, _, _ in copies}) <= 1 and 2000 not in kept
 
 
+def test_near_copies_by_exact_similarity(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        words = prose(rng, 400).split()
+        changed = list(words)
+        for k in range(8 + i % 2):  # 8 replaced words leave 0.817, 9 leave 0.796
+            changed[20 + 40 * k] = "changed"
+        rows += [(i, " ".join(words), "a"), (1000 + i, " ".join(changed), "a")]
+    kept = {r.doc_id for r in simhash.drop_near_copies(made(spark, rows)).collect()}
+    assert {1000 + i for i in range(60) if i % 2} | set(range(60)) <= kept
+    assert len(kept & {1000 + i for i in range(0, 60, 2)}) <= 2
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/x y", "same"), (2, None, "same"), (3, "http://b", None), (4, "http://c", ""), (5, "http://d", "a\r\n\r\nWARC/1.1\r\nb é")], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"))
