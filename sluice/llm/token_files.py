@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +26,7 @@ MAGIC = b"BPL1"
 #: Reflected polynomial of CRC-32 (a fixed value).
 POLYNOMIAL = 0xEDB88320
 
-CHUNK_SCHEMA = "part int, chunk int, first long, n_ids int, data binary, doc_nos array<long>, doc_ids array<long>, piece_nos array<int>, piece_lens array<int>, whole array<boolean>"
+CHUNK_SCHEMA = "part int, chunk int, first long, n_ids int, data binary, doc_nos array<long>, doc_ids array<long>, has_id array<boolean>, piece_nos array<int>, piece_lens array<int>, whole array<boolean>"
 
 
 # ---------------------------------------------------------------- blocks
@@ -77,61 +79,54 @@ def joined_crc(first: int, second: int, length: int) -> int:
 # ---------------------------------------------------------------- encoding
 
 
-#: Stands between stretches that are encoded together: one token, which no stretch without the character has.
-MARK = "\x01"
-TOGETHER = 512
+#: Of these characters lower case, composition and classes are the same for Python and for the vocabulary's own pattern.
+_PLAIN = range(0x180)
+_OTHER = re.compile(r"[^\x00-\u017f]|\u0130|<\|")
+
+
+def _of(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in _PLAIN if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The vocabulary's pattern (a fixed value) for those characters in lower case.
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[^\t-\r \x85\xa0{_of('L')}{_of('N')}]+")
 
 
 class CachedTokenizer:
-    """Encodes by the tokenizers library; the ids of stretches between spaces are looked up once they are known.
+    """Encodes by the tokenizers library; the ids of a text's pieces are looked up once they are known.
 
-    The vocabulary's normaliser makes white space a single space and its pattern never matches one, so a text's ids are those of
-    its stretches, one after the other. A comma or full stop after a letter is a match of its own at a stretch's end.
+    The vocabulary's normaliser puts text into lower case and its pattern matches no white space, so a text's ids are those of the
+    pattern's matches, one after the other, each encoded by the library's model. Texts with characters beyond Latin ones, or with
+    what may be a special token, are cut at spaces only, which the pattern never crosses either; there the library does the rest.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen = Recent(lambda piece: b"".join(map(self._alone, self._halves(piece))), CACHE)
-        self.mark = self._ids(MARK)
-        if len(self.mark) != 1:
-            raise ValueError("the mark is not one token of this vocabulary")
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _alone(self, piece: str) -> bytes:
-        return self._ids(piece).tobytes()
-
-    @staticmethod
-    def _halves(piece: str) -> tuple[str, ...]:
-        return (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ".," and piece[-2].lower().isalpha() else (piece,)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the unknown ones of pieces together and keep their ids."""
-        seen = self.seen
-        new = [p for p in pieces if p not in seen and p not in seen.older]
-        parts = {h for p in new for h in self._halves(p)}
-        known = {p: seen[p] for p in parts if p in seen or p in seen.older}
-        todo = [p for p in parts if p not in known and MARK not in p]
-        for at in range(0, len(todo), TOGETHER):
-            part = todo[at : at + TOGETHER]
-            ids = self._ids(f" {MARK} ".join(part))
-            ends = np.nonzero(ids == self.mark[0])[0].tolist()
-            if len(ends) == len(part) - 1:
-                raw = ids.tobytes()
-                known.update((p, raw[4 * (a + 1) : 4 * b]) for p, a, b in zip(part, [-1, *ends], [*ends, len(ids)], strict=True))
-        for piece in new:
-            halves = self._halves(piece)
-            seen.put(piece, b"".join([known[h] if h in known else self._alone(h) for h in halves]))
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.seen.__getitem__, pieces)) for pieces in split]
+        self.model = self.tokenizer.model
+        # The character that stands for each byte in the vocabulary: bytes with a visible one keep it, the rest take those from 256 on.
+        visible = {ord(c) for c in ByteLevel.alphabet() if ord(c) < 256}
+        hidden = [b for b in range(256) if b not in visible]
+        self.shown = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.pieces, self.stretches = Recent(self._piece, CACHE), Recent(self._stretch, CACHE)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _stretch(self, stretch: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([stretch], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        text = text or ""
+        if _OTHER.search(text):
+            return b"".join(map(self.stretches.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
 
 
 @lru_cache(2)
@@ -153,28 +148,25 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, encode_all = TaskContext.get().partitionId(), tokenizer(vocabulary).encode_all
+        part, encode = TaskContext.get().partitionId(), tokenizer(vocabulary).encode
         end, held, size = np.array([end_id], "<u4").tobytes(), [], 0
         chunk, first, docs_in, doc_no = 0, 0, [], -1
 
         def emit() -> pd.DataFrame:
             nonlocal chunk, first, held, size, docs_in
             ids = np.frombuffer(b"".join(held), "<u4")
-            row = (part, chunk, first, len(ids), pack_block(ids, bits), *([d[i] for d in docs_in] for i in range(5)))
+            row = (part, chunk, first, len(ids), pack_block(ids, bits), *([d[i] for d in docs_in] for i in range(6)))
             chunk, first, held, size, docs_in = chunk + 1, first + len(ids), [], 0, []
             return pd.DataFrame([row], columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
         for batch in batches:
-            texts, encoded = batch["text"].tolist(), []
-            for i in range(0, len(texts), 256):
-                encoded += encode_all(texts[i : i + 256])
-            for doc_id, own in zip(batch["doc_id"].astype(object), encoded, strict=True):
-                ids, doc_no, piece = own + end, doc_no + 1, 0
-                doc_id, at, n = None if pd.isna(doc_id) else int(doc_id), 0, len(ids) // 4
+            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
+                ids, doc_no, piece = encode(text) + end, doc_no + 1, 0
+                has_id, at, n = not pd.isna(doc_id), 0, len(ids) // 4
                 while at < n:
                     take = min(n - at, BLOCK - size)
                     held.append(ids[4 * at : 4 * (at + take)])
-                    docs_in.append((doc_no, doc_id, piece, take, take == n))
+                    docs_in.append((doc_no, int(doc_id) if has_id else 0, has_id, piece, take, take == n))
                     at, size, piece = at + take, size + take, piece + 1
                     if size == BLOCK:
                         yield emit()
@@ -191,17 +183,22 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     with a count and a CRC for every chunk, never their ids.
     """
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
-    schema = "part int, doc_no long, doc_id long, begin long, piece int, whole boolean, n long, crc long"
+    schema = "part int, doc_no long, doc_id long, has_id boolean, begin long, piece int, whole boolean, n long, crc long"
+    lists = {"doc_no": "doc_nos", "doc_id": "doc_ids", "has_id": "has_id", "piece": "piece_nos", "whole": "whole", "n": "piece_lens"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                data, lens = memoryview(unpack_block(row.data).tobytes()), np.asarray(row.piece_lens, np.int64)
-                ends = np.cumsum(lens)
-                crcs = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
-                yield pd.DataFrame({"part": row.part, "doc_no": row.doc_nos, "doc_id": pd.array(row.doc_ids, "Int64") if not any(d is None or d != d for d in row.doc_ids) else pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], "Int64"), "begin": row.first + ends - lens, "piece": row.piece_nos, "whole": row.whole, "n": lens, "crc": crcs})
-
-    pieces = chunks.mapInPandas(run, schema)
+            begins, crcs = [], []
+            for first, data, lens in zip(batch["first"], batch["data"], batch["piece_lens"], strict=True):
+                raw, ends = memoryview(unpack_block(data).tobytes()), np.cumsum(np.asarray(lens, np.int64))
+                starts = ends - lens
+                begins.append(first + starts)
+                crcs += [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            if len(batch):
+                found = {name: np.concatenate(batch[held].to_list()) for name, held in lists.items()}
+                yield pd.DataFrame({"part": np.repeat(batch["part"].to_numpy(), batch["piece_lens"].map(len)), **found, "begin": np.concatenate(begins), "crc": crcs})
+
+    pieces = chunks.mapInPandas(run, schema).withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id")))
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
