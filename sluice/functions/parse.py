@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ def sensor_fields(line: Column) -> list[Column]:
 
 
 def words(line: Column, separator: str = " ") -> Column:
-    """Array of the pieces of line; empty ones at its end are dropped, those inside are kept."""
-    return F.split(F.regexp_replace(line, f"(?:{separator})+$", ""), separator)
+    """Array of the pieces of line between separators, which are taken as they are; empty ones at its end are dropped, those inside are kept."""
+    plain = re.sub(r"([^A-Za-z0-9])", r"\\\1", separator)
+    return F.split(F.regexp_replace(line, f"(?:{plain})+$", ""), plain)
 
 
 def event_time(seconds: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import bucketed
 
 def window_join(left: DataFrame, right: DataFrame, key: str, time: str, width: str) -> DataFrame:
     """Inner join of rows with equal key in the same tumbling window; the windows are columns of each side before the join, so it is an equi-join."""
@@ -25,18 +26,25 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     return left.withColumn("__bucket", bucket(left_time)).join(near, [key, "__bucket"]).where(apart <= seconds * 1_000_000).drop("__bucket")
 
 
-def latest_before(df: DataFrame, order: str, value: str, default, bucket: int = 4096, name: str = "latest") -> DataFrame:
-    """df with name: the last value that is not null at or before each row in order (a whole number), or default.
+def latest_before(df: DataFrame, order: str, value: str, default, rows_each: int = 4096, name: str = "latest") -> DataFrame:
+    """df with name: the last value that is not null at or before each row in order (a whole number; of equal ones the largest value), or default, also for rows without order.
 
     Rows meet only within a bucket of order; what a bucket starts with is found from one row per bucket.
     """
-    rows = df.withColumn("__bucket", F.expr(f"{order} div {bucket}"))
-    ends = rows.where(F.col(value).isNotNull()).groupBy("__bucket").agg(F.max_by(value, order).alias("__end"))
+    every = bucketed(df, order, rows_each)
+    rows = every.where("__bucket is not null")
+    ends = rows.where(F.col(value).isNotNull()).groupBy("__bucket").agg(F.max_by(value, F.struct(order, value)).alias("__end"))
     buckets = rows.select("__bucket").distinct().join(ends, "__bucket", "left")
     ahead = F.last("__end", ignorenulls=True).over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = buckets.select("__bucket", ahead.alias("__start"))
-    inside = F.last(value, ignorenulls=True).over(W.partitionBy("__bucket").orderBy(order))
-    return rows.withColumn("__inside", inside).join(starts, "__bucket").withColumn(name, F.coalesce("__inside", "__start", F.lit(default))).drop("__bucket", "__inside", "__start")
+    inside = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(order), F.col(value).alias("__value")))).over(W.partitionBy("__bucket").orderBy(order))
+    known = rows.withColumn("__inside", inside["__value"]).join(starts, "__bucket").withColumn(name, F.coalesce("__inside", "__start", F.lit(default)))
+    return known.drop("__bucket", "__inside", "__start").unionByName(every.where("__bucket is null").drop("__bucket").withColumn(name, F.lit(default)))
+
+
+def arrival_join(left: DataFrame, right: DataFrame, key: str, left_arrival: str, right_arrival: str) -> DataFrame:
+    """Rows of right with those of left of the same key that arrived before: what a join gives that remembers left rows and answers right ones alone."""
+    return left.join(right, key).where(F.col(left_arrival) < F.col(right_arrival))
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

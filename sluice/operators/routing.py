@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,20 @@ def with_warnings(df: DataFrame, condition: Column, text: Column) -> DataFrame:
     return df.withColumns({"out_tag": F.explode(F.when(condition, F.array(F.lit("main"), F.lit("warn"))).otherwise(F.array(F.lit("main"))))}).withColumn("text", F.when(F.col("out_tag") == "warn", text))
 
 
+def with_hooks(df: DataFrame, opened: Callable[[], object], each: Callable[[object, pd.DataFrame], pd.DataFrame], closed: Callable[[object], None], schema: str) -> DataFrame:
+    """df through each(resource, batch), with a resource that every task opens before its first batch and closes after its last, also if it fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        resource = opened()
+        try:
+            for batch in batches:
+                yield each(resource, batch)
+        finally:
+            closed(resource)
+
+    return df.mapInPandas(run, schema)
+
+
 def by_number(df: DataFrame, parts: int, key: Column) -> DataFrame:
     """Rows placed by key modulo parts exactly, not by a hash."""
     return df.repartitionById(parts, F.pmod(key.cast("int"), F.lit(parts)).cast("int"))

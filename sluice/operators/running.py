@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def so_far(*keys: str, order: tuple[str, ...]):
     return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
 
 
-def running_total(value: Column, *keys: str, order: tuple[str, ...]) -> Column:
-    return F.sum(value.cast("decimal(18,2)")).over(so_far(*keys, order=order))
+def running_total(value: Column, *keys: str, order: tuple[str, ...], kind: str | None = None) -> Column:
+    """The sum so far, in the type kind (a decimal for exact sums, which rounds to its places) or value's own. Null values add nothing."""
+    return F.sum(value.cast(kind) if kind else value).over(so_far(*keys, order=order))
 
 
-def running_mean(value: Column, *keys: str, order: tuple[str, ...]) -> Column:
-    """An exact sum over a count, so that the result does not depend on the engine's way of averaging."""
-    return running_total(value, *keys, order=order).cast("double") / F.count("*").over(so_far(*keys, order=order))
+def running_mean(value: Column, *keys: str, order: tuple[str, ...], kind: str | None = None) -> Column:
+    """The sum so far over the count of values that are not null; with a decimal kind it does not depend on the engine's way of adding."""
+    return running_total(value, *keys, order=order, kind=kind).cast("double") / F.count(value).over(so_far(*keys, order=order))
 
 
 def change_alarm(df: DataFrame, key: str, value: str, order: tuple[str, ...], most: float) -> DataFrame:
@@ -36,38 +38,52 @@ def expiring_last(df: DataFrame, key: str, value: str, time: str, order: tuple[s
     return df.withColumn("previous", F.when(age <= ttl_seconds, F.lag(value).over(w)))
 
 
-def numbered_rows(df: DataFrame, order: str, bucket: int = 4096) -> DataFrame:
-    """df with n: how many rows there are up to each in order (whole numbers); counts per bucket first, so no task has all rows."""
-    rows = df.withColumn("__bucket", F.expr(f"{order} div {bucket}"))
-    sizes = rows.groupBy("__bucket").agg(F.count("*").alias("__size"))
+#: Buckets at most, so rows at most of the one window that orders them.
+MOST_BUCKETS = 1 << 16
+
+
+def bucketed(df: DataFrame, order: str, rows_each: int = 4096) -> DataFrame:
+    """df with __bucket: equal stretches of order (a whole number), about rows_each rows each if it is even and MOST_BUCKETS of them at most; null where order is."""
+    low, high, n = df.agg(F.min(order).cast("decimal(38,0)"), F.max(order).cast("decimal(38,0)"), F.count(order)).first()
+    count = min(MOST_BUCKETS, max(1, -(-n // rows_each)))
+    width = max(1, -(-(int(high) - int(low) + 1) // count)) if n else 1
+    return df.withColumn("__bucket", F.expr(f"(CAST(`{order}` AS DECIMAL(38,0)) - ({int(low or 0)}BD)) div {width}BD"))
+
+
+def numbered_rows(df: DataFrame, order: str, rows_each: int = 4096) -> DataFrame:
+    """df with n: how many rows there are up to each in order (whole numbers, ties in any order), null where order is null; counts per bucket first, so no task has all rows."""
+    rows = bucketed(df, order, rows_each)
+    sizes = rows.where("__bucket is not null").groupBy("__bucket").agg(F.count("*").alias("__size"))
     ahead = sizes.select("__bucket", F.coalesce(F.sum("__size").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
     inside = F.row_number().over(W.partitionBy("__bucket").orderBy(order))
-    return rows.withColumn("__inside", inside).join(ahead, "__bucket").withColumn("n", F.col("__ahead") + F.col("__inside")).drop("__bucket", "__inside", "__ahead")
+    known = rows.where("__bucket is not null").withColumn("__inside", inside).join(ahead, "__bucket").withColumn("n", F.col("__ahead") + F.col("__inside"))
+    return known.drop("__bucket", "__inside", "__ahead").unionByName(df.where(F.col(order).isNull()).withColumn("n", F.lit(None).cast("long")))
 
 
-def fold_sorted(df: DataFrame, key: str, order: tuple[str, ...], start: Callable[[], object], step: Callable[[object, tuple], tuple[object, object]], column: str, kind: str) -> DataFrame:
-    """df with column: step(state, row) -> (state, value) over each key's rows in order.
+def fold_sorted(df: DataFrame, key: str, order: tuple[str, ...], used: tuple[str, ...], start: Callable[[], object], step: Callable[..., tuple[object, object]], column: str, kind: str) -> DataFrame:
+    """df with column: step(state, *values of used) -> (state, value) over each key's rows in order; rows without a key are a key's of their own.
 
-    A key's rows come sorted to one task, which keeps one state and one batch in memory, so a key may have any number of rows.
+    A key's rows come sorted to one task, which keeps one state and one batch in memory, so a key may have any number of rows. Only key and used become Python values.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{column}` {kind}"])
+    schema = df.withColumn(column, F.lit(None).cast(kind)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = object(), None
         for batch in batches:
             values = []
-            for k, row in zip(batch[key], batch.itertuples(index=False), strict=True):
-                if k != at:
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in (key, *used)), strict=True):
+                if k != at and not (k != k and at != at):
                     at, state = k, start()
-                state, value = step(state, row)
+                state, value = step(state, *row)
                 values.append(value)
-            yield batch.assign(**{column: values})
+            made = pa.array(values, arrow_kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, column])
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    arrow_kind = to_arrow_type(schema[column].dataType)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def running_top(df: DataFrame, key: str, value: str, order: tuple[str, ...], n: int = 3) -> DataFrame:
-    """df with top: the key's n largest values (whole numbers) so far, largest first."""
-    place = df.columns.index(value)
-    step = lambda best, row: (new := sorted([*best, int(row[place])], reverse=True)[:n], new)
-    return fold_sorted(df, key, order, list, step, "top", "array<long>")
+    """df with top: the key's n largest values (whole numbers) so far, largest first. A null value changes nothing."""
+    step = lambda best, v: (new := best if v is None else sorted([*best, v], reverse=True)[:n], new)
+    return fold_sorted(df, key, order, (value,), list, step, "top", "array<bigint>")

@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def money(value: Column) -> Column:
-    """Exact sums of amounts with two decimals."""
-    return F.sum(value.cast("decimal(18,2)"))
+def sum_of(value: Column, kind: str | None = None) -> Column:
+    """The sum of value in the type kind, a decimal for exact sums, or in its own."""
+    return F.sum(value.cast(kind) if kind else value)
 
 
 def windowed(df: DataFrame, time: str, width: str, slide: str | None = None, keys: tuple[str, ...] = (), **aggregates: Column) -> DataFrame:

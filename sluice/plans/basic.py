@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,13 @@ def map_plus_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("n"))
 
 
+def map_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a map with a resource for each task: here how much to add."""
+    added = lambda step, batch: batch.assign(n=batch["n"] + step["by"])[["n"]]
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    return routing.with_hooks(nations, lambda: {"by": 1}, added, dict.clear, "n int")
+
+
 def flatmap_cond(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.explode(parse.routed_values(F.col("event_type"), F.col("event_id"), F.col("user_id"), "click", "purchase")).alias("out"))
@@ -81,19 +90,20 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables by DDL and an INSERT ... SELECT between them."""
-    name = f"sink_{abs(hash(sf_dir)) % 10**8}_{spark.sparkContext.startTime}"
-    table(spark, sf_dir, "nation").createOrReplaceTempView("source")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    name, source = (f"{kind}_{uuid.uuid4().hex}" for kind in ("sink", "source"))
+    table(spark, sf_dir, "nation").createOrReplaceTempView(source)
     spark.sql(f"CREATE TABLE {name} (id INT, name STRING, region INT) USING parquet")
-    spark.sql(f"INSERT INTO {name} SELECT * FROM source WHERE n_nationkey > 5")
+    spark.sql(f"INSERT INTO {name} SELECT * FROM {source} WHERE n_nationkey > 5")
+    spark.catalog.dropTempView(source)
     return spark.table(name)
 
 
-QUERIES = {f.__name__: f for f in (filter_eq, map_plus_one, flatmap_cond, word_count, csv_parse, json_field, union_all, connect_map, split_tags, side_warn, codec_roundtrip, custom_partition, rebalance, generated, sql_insert_select)}
+QUERIES = {f.__name__: f for f in (filter_eq, map_plus_one, map_hooks, flatmap_cond, word_count, csv_parse, json_field, union_all, connect_map, split_tags, side_warn, codec_roundtrip, custom_partition, rebalance, generated, sql_insert_select)}
 _NUM = "lpad(lower(printf('%x', CASE WHEN {0} < 0 THEN {0} + 4294967296 ELSE {0} END)), 8, '0')"
 ORACLES = {
     "filter_eq": "SELECT event_id, user_id, value FROM events WHERE event_type = 'click'",
     "map_plus_one": "SELECT n_nationkey + 1 AS n FROM nation",
+    "map_hooks": "SELECT n_nationkey + 1 AS n FROM nation",
     "flatmap_cond": "SELECT event_id, user_id AS out FROM events WHERE event_type IN ('click', 'purchase') UNION ALL SELECT event_id, event_id FROM events WHERE event_type = 'purchase'",
     "word_count": "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word != '' GROUP BY word",
     "csv_parse": "SELECT event_type AS id, event_id AS ts, CAST(user_id AS INT) AS vc FROM events",

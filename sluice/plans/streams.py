@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import event_stream
 from ..streaming import processors
 from ..streaming.runs import drained, versions
+from . import keyed
 
 
 def _timed(spark: SparkSession, sf_dir: str, delay: str = "10 minutes") -> DataFrame:
@@ -56,14 +57,44 @@ def stream_late_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(processors.with_state(rows, "user_id", processors.LateSplit(6 * 3600), "user_id long, event_id long, out_tag string"), name="late")
 
 
-QUERIES = {f.__name__: f for f in (stream_tumble_append, stream_tumble_update, stream_top2, stream_interval_join, stream_alarm, stream_late_split)}
+def stream_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and purchases of a user in the same day; windows are columns of each side before the join, and times go, as a join may have one event time a side."""
+    side = lambda kind: _timed(spark, sf_dir).where(F.col("event_type") == kind).select(F.col("user_id").alias(f"{kind}_user"), F.window("ts", "1 day").alias(f"{kind}_w"), F.col("event_id").alias(f"{kind}_id"))
+    pairs = side("click").join(side("purchase"), F.expr("click_user = purchase_user AND click_w = purchase_w"))
+    return drained(pairs.select(F.col("click_user").alias("user_id"), F.col("click_w.start").alias("window_start"), "click_id", "purchase_id"), name="same-day").select("user_id", _ntz("window_start"), "click_id", "purchase_id")
+
+
+def stream_running_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir).select("user_id", "event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return drained(processors.with_state(rows, "user_id", processors.RunningTop(3), "event_id long, user_id long, top string"), name="top3")
+
+
+def stream_map_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_stream(spark, sf_dir).select("user_id", "event_id", "ts", "event_type")
+    return drained(processors.with_state(rows, "user_id", processors.KindCounts(), "event_id long, user_id long, event_type string, n long"), name="kinds")
+
+
+def stream_timer_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two largest counts of each window by a timer in event time: it fires once the watermark is past the window's end."""
+    counts = _timed(spark, sf_dir).groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    rows = counts.select("w", F.unix_millis("w.end").alias("end_ms"), F.col("w.start").alias("window_start"), "event_type", "n")
+    tops = processors.with_state(rows, "end_ms", processors.WindowTop(2), "window_start timestamp, rank long, event_type string, n long", "EventTime")
+    return drained(tops, name="timer").select(_ntz("window_start"), "rank", "event_type", "n")
+
+
+QUERIES = {f.__name__: f for f in (stream_tumble_append, stream_tumble_update, stream_top2, stream_interval_join, stream_alarm, stream_late_split, stream_window_join, stream_running_top3, stream_map_count, stream_timer_top2)}
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 minutes FROM events)"
 _COUNTS = "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _SLID = "(SELECT *, time_bucket(INTERVAL 30 minutes, ts) - INTERVAL (30 * i) minutes AS window_start FROM events, (VALUES (0), (1)) AS s(i))"
+_TOP2 = f"SELECT window_start, rank, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, event_type) AS rank FROM (SELECT window_start, event_type, count(*) AS n FROM {_SLID} GROUP BY ALL)) WHERE rank <= 2 AND window_start + INTERVAL 1 hour <= {_CLOSED}"
 ORACLES = {
     "stream_tumble_append": f"SELECT * FROM ({_COUNTS}) WHERE window_start + INTERVAL 1 hour <= {_CLOSED}",
     "stream_tumble_update": _COUNTS,
-    "stream_top2": f"SELECT window_start, rank, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, event_type) AS rank FROM (SELECT window_start, event_type, count(*) AS n FROM {_SLID} GROUP BY ALL)) WHERE rank <= 2 AND window_start + INTERVAL 1 hour <= {_CLOSED}",
+    "stream_top2": _TOP2,
+    "stream_timer_top2": _TOP2,
+    "stream_window_join": keyed.ORACLES["window_join"],
+    "stream_running_top3": keyed.ORACLES["running_top3"],
+    "stream_map_count": keyed.ORACLES["running_map_count"],
     "stream_interval_join": "SELECT a.user_id, a.event_id AS click_event_id, b.event_id AS purchase_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts - INTERVAL 1 hour AND a.ts + INTERVAL 1 hour",
     "stream_alarm": "SELECT user_id, event_id, value, previous FROM (SELECT *, lag(value, 1, 0.0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE abs(value - previous) > 10",
     "stream_late_split": "SELECT user_id, event_id, CASE WHEN ts < max(ts) OVER (PARTITION BY user_id ORDER BY event_id + event_id * 7919 % 3001, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 6 hours THEN 'late' ELSE 'main' END AS out_tag FROM events",

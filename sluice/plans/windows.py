@@ -5,34 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.windows import money, top_n, windowed
+from ..operators.windows import sum_of, top_n, windowed
 from ..sources.tables import table
 
+#: Amounts are in cents here: exact sums, whatever order they are added in.
+CENTS = "decimal(18,2)"
+
 
 def tumble_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("event_type",), n=F.count("*"), total=money(F.col("value")).cast("double"))
+    out = windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("event_type",), n=F.count("*"), total=sum_of(F.col("value"), CENTS).cast("double"))
     return out.drop("window_end")
 
 
 def tumble_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window function behind an aggregate sees one element, so its count is 1."""
-    out = windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("event_type",), total=money(F.col("value")).cast("string"))
+    out = windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("event_type",), total=sum_of(F.col("value"), CENTS).cast("string"))
     return out.withColumn("n", F.lit(1))
 
 
 def tumble_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("user_id",), total=money(F.col("value")).cast("double")).drop("window_end")
+    return windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("user_id",), total=sum_of(F.col("value"), CENTS).cast("double")).drop("window_end")
 
 
 def full_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, last = F.min_by("event_id", "ts"), F.max_by("event_id", "ts")
+    at = F.struct("ts", "event_id")
+    first, last = F.min_by("event_id", at), F.max_by("event_id", at)
     return windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("event_type",), n=F.count("*"), first_event=first, last_event=last)
 
 
 def proc_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of arrival: each event arrives up to ten minutes after its time."""
     arrived = table(spark, sf_dir, "events").withColumn("arrived", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, event_id * 7919 % 600)"))
-    return windowed(arrived, "arrived", "10 minutes", n=F.count("*"), total=money(F.col("value")).cast("double")).drop("window_end")
+    return windowed(arrived, "arrived", "10 minutes", n=F.count("*"), total=sum_of(F.col("value"), CENTS).cast("double")).drop("window_end")
 
 
 def slide_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +66,7 @@ ORACLES = {
     "tumble_event": f"SELECT {_HOUR} AS window_start, event_type, count(*) AS n, CAST({_SUM} AS DOUBLE) AS total FROM events GROUP BY ALL",
     "tumble_wrapped": f"SELECT {_HOUR} AS window_start, {_HOUR} + INTERVAL 1 hour AS window_end, event_type, CAST({_SUM} AS VARCHAR) AS total, 1 AS n FROM events GROUP BY 1, 2, 3",
     "tumble_reduce": f"SELECT {_HOUR} AS window_start, user_id, CAST({_SUM} AS DOUBLE) AS total FROM events GROUP BY ALL",
-    "full_window": f"SELECT {_HOUR} AS window_start, {_HOUR} + INTERVAL 1 hour AS window_end, event_type, count(*) AS n, arg_min(event_id, ts) AS first_event, arg_max(event_id, ts) AS last_event FROM events GROUP BY 1, 2, 3",
+    "full_window": f"SELECT {_HOUR} AS window_start, {_HOUR} + INTERVAL 1 hour AS window_end, event_type, count(*) AS n, first(event_id ORDER BY ts, event_id) AS first_event, last(event_id ORDER BY ts, event_id) AS last_event FROM events GROUP BY 1, 2, 3",
     "proc_window": f"SELECT time_bucket(INTERVAL 10 minutes, ts + to_seconds(event_id * 7919 % 600)) AS window_start, count(*) AS n, CAST({_SUM} AS DOUBLE) AS total FROM events GROUP BY ALL",
     "slide_count": f"SELECT window_start, user_id, count(*) AS n FROM {_SLID} GROUP BY ALL",
     "slide_top2": _top2("user_id"),

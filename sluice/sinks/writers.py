@@ -24,8 +24,9 @@ def jdbc_insert(url: str, table: str, batch: int = 100, **options: str) -> Calla
     return write
 
 
-def jdbc_apply(url: str, table: str, key: str, columns: list[str], order: str, op: str = "op", staging: str | None = None, quote: str = '"', **options: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: apply change rows (c, r, u put a row, d takes it away) to a table, the latest change of each key alone.
+def jdbc_apply(url: str, table: str, key: str, columns: list[str], order: str, op: str = "op", ignore: tuple[str, ...] = (), staging: str | None = None, quote: str = '"', **options: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: apply change rows (c, r, u put a row, d takes it away) to a table, the latest change of each key alone, of equal ones the largest.
+    Changes whose op is in ignore, such as "u" where only inserts and deletes are to apply, are left out before that. options (user, password, driver) go to every connection.
 
     Tasks write those changes to a staging table; the database then deletes the batch's keys and inserts what remains, in one
     transaction, so running a batch again changes nothing, and a failure fails the batch.
@@ -35,9 +36,14 @@ def jdbc_apply(url: str, table: str, key: str, columns: list[str], order: str, o
 
     def write(df: DataFrame, _: int) -> None:
         rest = F.struct(*columns, F.col(op).alias("__op"))
-        last = df.groupBy(key).agg(F.max_by(rest, order).alias("last")).select(key, "last.*")
+        some = df.where(~F.coalesce(F.col(op).isin(*ignore), F.lit(False))) if ignore else df
+        last = some.groupBy(key).agg(F.max_by(rest, F.struct(order, rest)).alias("last")).select(key, "last.*")
         last.write.format("jdbc").options(url=url, dbtable=staging, **options).mode("overwrite").save()
-        connection = df.sparkSession._jvm.java.sql.DriverManager.getConnection(url)
+        jvm = df.sparkSession._jvm
+        properties = jvm.java.util.Properties()  # the write above has made the driver known
+        for name, value in options.items():
+            properties.setProperty(name, value)
+        connection = jvm.java.sql.DriverManager.getConnection(url, properties)
         every = ", ".join(map(named, [key, *columns]))
         try:
             connection.setAutoCommit(False)

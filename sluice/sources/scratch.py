@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sluice-scratch"
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local master has one in /tmp, and a cluster, whose machines share no such folder, an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/sluice-scratch"
     return f"{root}/{name}-{uuid.uuid4().hex}"

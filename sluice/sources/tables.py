@@ -28,8 +28,12 @@ def socket_stream(spark: SparkSession, host: str, port: int) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> DataFrame:
-    """The events table as a stream, with ts as a timestamp (UTC), which watermarks need."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", per_trigger).parquet(sf_dir)
+    """The events table, one file or a folder of files, as a stream of per_trigger files a batch, with ts as a timestamp (UTC), which watermarks need.
+
+    A batch is at most that many files, so what a processor holds of a key in one batch is bounded by their size. A missing table is an error.
+    """
+    spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")  # fails if there is none; the pattern below, which also takes a single file, would not
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_trigger).parquet(f"{sf_dir}/event[s].parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

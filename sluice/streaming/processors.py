@@ -1,10 +1,14 @@
-"""Stateful processors for transformWithState, and the streams that use them. Rows of a batch are sorted before use, as shuffles do not keep order."""
+"""Stateful processors for transformWithState, and the streams that use them.
+
+Rows of a batch are sorted before use, as shuffles do not keep order; so what one key has in one batch is in memory, and sources bound their batches.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -74,6 +78,71 @@ class ExpiringLast(StatefulProcessor):
         pass
 
 
+class RunningTop(StatefulProcessor):
+    """Each row with the key's n largest whole numbers so far, largest first, joined by commas. A null value changes nothing."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getListState("best", "value long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best = [r[0] for r in self.best.get()] if self.best.exists() else []
+        for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            if r.cents is not None:
+                best = sorted([*best, r.cents], reverse=True)[: self.n]
+            yield Row(event_id=r.event_id, user_id=key[0], top=",".join(map(str, best)))
+        if best:
+            self.best.put([(b,) for b in best])
+
+    def close(self) -> None:
+        pass
+
+
+class KindCounts(StatefulProcessor):
+    """Each row with how many of its kind the key has had so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getMapState("counts", "kind string", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            kind = (r.event_type,)
+            n = (self.counts.getValue(kind)[0] if self.counts.containsKey(kind) else 0) + 1
+            self.counts.updateValue(kind, (n,))
+            yield Row(event_id=r.event_id, user_id=key[0], event_type=r.event_type, n=n)
+
+    def close(self) -> None:
+        pass
+
+
+class WindowTop(StatefulProcessor):
+    """The n largest counts of a window, ties to the smaller kind, once event time is past its end: rows gather in a list and a timer in event time lets them out."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "n long, kind string, start timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for r in rows:
+            self.held.appendValue((r.n, r.event_type, r.window_start))
+        self.handle.registerTimer(key[0] + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = sorted(((r[0], r[1], r[2]) for r in self.held.get()), key=lambda r: (-r[0], r[1])) if self.held.exists() else []
+        self.held.clear()
+        for rank, (n, kind, start) in enumerate(held[: self.n], 1):
+            yield Row(window_start=start, rank=rank, event_type=kind, n=n)
+
+    def close(self) -> None:
+        pass
+
+
 class Batcher(StatefulProcessor):
     """Batches of size events of a key, or of what there is after wait_ms: rows batch_id and event_ids."""
 
@@ -117,7 +186,18 @@ class Batcher(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """State stores of queries that start in here are ROCKSDB, which processors need; afterwards the session's setting is as before."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
-    """rows through processor, key by key, in append mode. State stores must be ROCKSDB."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """rows through processor, key by key, in append mode. Start the query in rocksdb(), as drained() does."""
     return rows.groupBy(key).transformWithState(processor, schema, "append", time_mode)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
+from .processors import rocksdb
 
 
 def drained(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
@@ -15,11 +16,12 @@ def drained(stream: DataFrame, mode: str = "append", name: str = "stream") -> Da
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)).start()
-    query.awaitTermination()
+    with rocksdb(spark):
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).start()
+        else:
+            query = writer.foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)).start()
+        query.awaitTermination()
     schema = stream.schema if mode == "append" else stream.schema.add("batch", "long")
     return spark.read.schema(schema).parquet(out)
 

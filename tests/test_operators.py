@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import parse
-from sluice.operators import cdc, joins, routing, running
+from sluice.operators import cdc, joins, routing, running, windows
 from sluice.sinks import writers
 from sluice.sources import tables
 from sluice.streaming import processors
@@ -23,6 +23,13 @@ def test_sensor_lines(spark):
 
 def test_words_drop_trailing_empty(spark):
     assert spark.createDataFrame([("a  b  ",)], "l string").select(parse.words(F.col("l"))).first()[0] == ["a", "", "b"]
+    for separator in ("|", ".", "\\", "a|b", "[x"):
+        line = separator.join(["1", "", "2", "", ""])
+        assert spark.createDataFrame([(line,)], "l string").select(parse.words(F.col("l"), separator)).first()[0] == ["1", "", "2"]
+
+
+def test_stamp_and_event_time(spark):
+    assert spark.sql("SELECT 1").select(parse.stamp(parse.event_time(F.lit(86461)))).first()[0] == "1970-01-02 00:01:01.000"
 
 
 def test_routed_values(spark):
@@ -32,11 +39,11 @@ def test_routed_values(spark):
 
 
 def test_codec(spark):
-    df = spark.createDataFrame([("wjw", "a1", 25), ("é", "", -1), (None, "a", 1)], "name string, id string, age int")
+    df = spark.createDataFrame([("abc", "x9", 7), ("é", "", -1), (None, "a", 1)], "name string, id string, age int")
     raw = df.select(parse.user_to_bytes(F.col("name"), F.col("id"), F.col("age")).alias("raw"))
-    assert raw.select(F.hex("raw")).first()[0] == "0000001900000003776A77000000026131"
+    assert raw.select(F.hex("raw")).first()[0] == "000000070000000361626300000002" + b"x9".hex().upper()
     back = raw.select(parse.user_from_bytes(F.col("raw")).alias("u")).select("u.*").collect()
-    assert [tuple(r) for r in back] == [("wjw", "a1", 25), ("é", "", -1), (None, None, None)]
+    assert [tuple(r) for r in back] == [("abc", "x9", 7), ("é", "", -1), (None, None, None)]
 
 
 def test_window_and_interval_joins(spark):
@@ -51,7 +58,7 @@ def test_latest_before_and_numbers_over_buckets(spark):
     rng = random.Random(1)
     data = [(i, rng.random() if rng.random() < 0.1 else None) for i in rng.sample(range(1000), 300)]
     df = spark.createDataFrame(data, "seq long, config double")
-    got = {r.seq: r.latest for r in joins.latest_before(df, "seq", "config", 0.0, bucket=16).collect()}
+    got = {r.seq: r.latest for r in joins.latest_before(df, "seq", "config", 0.0, rows_each=16).collect()}
     last = 0.0
     for seq, config in sorted(data):
         last = config if config is not None else last
@@ -60,6 +67,26 @@ def test_latest_before_and_numbers_over_buckets(spark):
     assert numbers == {s: i for i, (s, _) in enumerate(sorted(data), 1)}
 
 
+def test_buckets_of_sparse_and_missing_orders(spark):
+    far = [(10**15 * i - 10**17, float(i) if i % 9 == 0 else None) for i in range(200)] + [(None, 5.0), (None, None)]
+    df = spark.createDataFrame(far, "seq long, config double")
+    assert running.bucketed(df, "seq", 10).select("__bucket").distinct().count() == 21
+    got = joins.latest_before(df, "seq", "config", -1.0, rows_each=10).collect()
+    assert len(got) == 202 and all(r.latest == (-1.0 if r.seq is None else (r.seq + 10**17) // 10**15 // 9 * 9) for r in got)
+    assert sorted(r.n for r in running.numbered_rows(df, "seq", 10).collect() if r.n is not None) == list(range(1, 201))
+    assert running.numbered_rows(df.limit(0), "seq").count() == joins.latest_before(df.limit(0), "seq", "config", 0.0).count() == 0
+    tied = spark.createDataFrame([(1, 2.0), (1, None), (1, 7.0), (2, None)], "seq long, config double")
+    assert {r.latest for r in joins.latest_before(tied, "seq", "config", 0.0).collect()} == {7.0}
+
+
+def test_totals_keep_their_places(spark):
+    df = spark.createDataFrame([(1, i, 0.004) for i in range(10)] + [(1, 10, None)], "k long, i long, v double")
+    last = df.select("i", running.running_total(F.col("v"), "k", order=("i",)).alias("t"), running.running_mean(F.col("v"), "k", order=("i",)).alias("m"), running.running_total(F.col("v"), "k", order=("i",), kind="decimal(18,3)").alias("d"))
+    row = last.where("i = 10").first()
+    assert abs(row.t - 0.04) < 1e-12 and abs(row.m - 0.004) < 1e-12 and str(row.d) == "0.040"
+    assert abs(df.agg(windows.sum_of(F.col("v"))).first()[0] - 0.04) < 1e-12
+
+
 def test_sized_batches(spark):
     ops = ["c", "c", "d", "d", "d", "d"]
     df = spark.createDataFrame([(0, i, o) for i, o in enumerate(ops)], "g long, seq long, op string")
@@ -69,6 +96,13 @@ def test_sized_batches(spark):
 def test_running_top(spark):
     df = spark.createDataFrame([("s1", i, v) for i, v in enumerate([5, 9, 7, 8, 1])], "id string, seq long, v long")
     assert [r.top for r in running.running_top(df, "id", "v", ("seq",)).orderBy("seq").collect()] == [[5], [9, 5], [9, 7, 5], [9, 8, 7], [9, 8, 7]]
+    unkeyed = spark.createDataFrame([(None, 0, 5), (None, 1, 9), (None, 2, None), (None, 3, 7), ("a", 4, 1)], "id string, seq long, v long")
+    assert [r.top for r in running.running_top(unkeyed, "id", "v", ("seq",)).orderBy("seq").collect()] == [[5], [9, 5], [9, 5], [9, 7, 5], [1]]
+
+
+def test_sized_batches_without_a_key(spark):
+    df = spark.createDataFrame([(None, i, o) for i, o in enumerate("ccc")] + [(None, 3, None)], "g long, seq long, op string")
+    assert [r.batch_id for r in cdc.sized_batches(df, "g", "seq", 2).orderBy("seq").collect()] == [0, 0, 1, 1]
 
 
 def test_changes_parse_and_apply(spark):
@@ -76,6 +110,9 @@ def test_changes_parse_and_apply(spark):
     rows = cdc.parsed_changes(lines, "id string, ts int, vc int").select("op", "row.*", "ts_ms")
     assert [r.id for r in rows.collect()] == ["a", "a", "b"]
     assert [tuple(r) for r in cdc.latest_state(rows, "id", "ts_ms").select("id", "vc").collect()] == [("b", 4)]
+    nested = spark.createDataFrame([('{"op":"u","after":{"id":"a","price":1.25,"tags":["x","y"],"at":{"p":1,"q":2}}}',), ("no json",)], "value string")
+    got = cdc.parsed_changes(nested, "id string, price decimal(10,2), tags array<string>, at struct<p: int, q: int>").select("op", "row.price", "row.tags", "row.at.q").collect()
+    assert [str(got[0].price), got[0].tags, got[0].q] == ["1.25", ["x", "y"], 2] and got[1].op is None
 
 
 def test_jdbc_apply_runs_again(spark, tmp_path):
@@ -88,6 +125,62 @@ def test_jdbc_apply_runs_again(spark, tmp_path):
         apply(changes, 0)
     got = spark.read.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").load()
     assert sorted(tuple(r) for r in got.collect()) == [(1, "new"), (2, "keep"), (4, "in")]
+    writers.jdbc_apply(url, "t", "id", ["name"], "seq", ignore=("u",))(spark.createDataFrame([(1, "not", 5, "u"), (2, None, 5, "d"), (5, "five", 5, "c")], "id long, name string, seq long, op string"), 1)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "new"), (4, "in"), (5, "five")]
+
+
+def test_jdbc_with_a_login(spark, tmp_path):
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    url = f"jdbc:derby:{tmp_path}/login;create=true"
+    options = {"user": "me", "password": "secret", "driver": driver}
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(10)], "id long, name string")
+    writers.jdbc_insert(url, "t", **options)(rows, 0)
+    writers.jdbc_insert(url, "t", **options)(rows.where("id < 2"), 1)
+    writers.jdbc_apply(url, "t", "id", ["name"], "seq", **options)(spark.createDataFrame([(1, None, 1, "d")], "id long, name string, seq long, op string"), 0)
+    # The tables of a login stand in a schema of its name.
+    split = tables.jdbc_split(spark, url, "me.t", "id", 0, 10, splits=3, **options)
+    assert split.rdd.getNumPartitions() == 3 and sorted(r.id for r in split.collect()) == [0, 0, 2, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_hooks_run_once_a_task(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def note(what):
+        with open(log, "a") as f:
+            f.write(what)
+
+    def opened():
+        note("o")
+        return []
+
+    out = routing.with_hooks(spark.range(100).coalesce(1), opened, lambda r, b: b + 1, lambda r: note("c"), "id long")
+    assert sorted(r.id for r in out.collect()) == list(range(1, 101)) and open(log).read() == "oc"
+    with pytest.raises(Exception, match="ZeroDivision"):
+        routing.with_hooks(spark.range(1).coalesce(1), opened, lambda r, b: 1 // 0, lambda r: note("c"), "id long").collect()
+    assert open(log).read() == "ococ"
+
+
+def test_text_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    assert sorted(r.value for r in tables.lines(spark, str(tmp_path / "a.txt")).collect()) == ["x", "y"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.txt").write_text("p\nq\n")
+    query = tables.line_stream(spark, str(tmp_path / "in"), 1).writeStream.format("memory").queryName("text_lines").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.value for r in spark.table("text_lines").collect()) == ["p", "q"]
+    hourly = writers.hourly_files(tables.line_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "d"), every="1 second")
+    end = time.time() + 60
+    while time.time() < end and not list((tmp_path / "out").glob("hour=*/*.txt")):
+        time.sleep(0.5)
+    hourly.stop()
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).select("value").collect()) == ["p", "q"]
+
+
+def test_shuffles_keep_rows(spark):
+    assert routing.shuffled(spark.range(50), 4, seed=3).count() == 50 and routing.shuffled(spark.range(50), 4).rdd.getNumPartitions() == 4
+    out = tables.generated_sensors(spark, 500, 1)
+    assert out.where("id between 1 and 10 and vc between 1 and 100").count() == 500 and out.select("ts").distinct().count() == 500
+    assert out.exceptAll(tables.generated_sensors(spark, 500, 1)).count() == 0 and out.select("id").distinct().count() == 10
 
 
 def test_tags_are_disjoint_and_outputs_fan_out(spark):
@@ -99,7 +192,8 @@ def test_tags_are_disjoint_and_outputs_fan_out(spark):
 
 def until(spark, stream, name, rows, tmp_path):
     """Processing time goes on for ever, so such a stream never reads all there is: it is stopped once it has given rows."""
-    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(processingTime="1 second").start()
+    with processors.rocksdb(spark):
+        query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(processingTime="1 second").start()
     end = time.time() + 30
     while time.time() < end and spark.table(name).count() < rows:
         time.sleep(0.5)
