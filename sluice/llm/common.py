@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 #: A run of anything but ASCII white space, as Java's and DuckDB's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,17 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/sluice-scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,15 +26,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files behind a written() table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def settled(name: str):
+    """Decorates a function that returns a DataFrame: the result is written(), and the tables that were written on the way to it are deleted."""
+
+    def decorate(make):
+        @wraps(make)
+        def run(*args, **options):
+            outer, made = _made.get(), []
+            token = _made.set(made)
+            try:
+                df = make(*args, **options)
+                inner = list(made)
+                result = written(df, name)
+            finally:
+                _made.reset(token)
+            if outer is not None:
+                outer += [p for p in made if p not in inner]
+            for path in inner:
+                _delete(df.sparkSession, path)
+            return result
+
+        return run
+
+    return decorate
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    name = f"__{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def words_of(text: Column) -> Column:
@@ -74,27 +105,43 @@ class Recent(dict):
             self[key] = found
 
 
+#: A node is a hub if it has over LEAST_HUB edges, fewer than one task minds, and over one part in MOST_HUBS of all: so hubs are at most twice that number.
+LEAST_HUB = 1_000_000
+MOST_HUBS = 10_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, most: int | None) -> DataFrame:
+    """edges (u, v) with m, the least of u: rows of least (u, m, n) of over most edges are few and broadcast. None: there is no such row."""
+    if most is None:
+        return edges.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.col("m").alias("hub")))
+    told = edges.join(hubs, "u", "left")
+    calm = told.where("hub is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return told.where("hub is not null").select("u", "v", F.col("hub").alias("m")).union(calm)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is its smallest reachable node.
 
     Alternating large-star and small-star steps: each joins a node to the least node it knows of, so the
     edge count never grows, and the number of rounds is logarithmic in the longest chain. Every step is an
-    aggregation of minima (combined before the shuffle) and an equi-join; each round is written to the
-    shared folder. Nulls and self-loops contribute nothing but their node.
+    aggregation of minima (combined before the shuffle) and a join with them; each round is written to the
+    shared folder. The minima of hubs (see MOST_HUBS) are broadcast, so a hub's edges stay where they are. Nulls and self-loops contribute nothing but their node.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null").distinct()
     e = written(e, "cc")
-    last = None
+    count = e.count()
+    last, most = None, max(LEAST_HUB, count // MOST_HUBS) if count > LEAST_HUB else None
     for _ in range(max_rounds):
         # Large star: every neighbour larger than u moves to the least neighbour of u.
         both = e.where("u != v").select("u", "v").union(e.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), low, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours move to the least of them.
         large = large.union(e.where("u = v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         new = written(small.distinct(), "cc")
         sums = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_scratch(e)

@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import settled, table, written
 
 LINKS = 16  # to a node on upper layers; twice as many on the lowest
 BUILD_BEAM = 64
 SEARCH_BEAM = 128
 SHARDS = 8
+#: A shard, which is one row and one task, holds no more vectors and no more bytes of them (as doubles).
 SHARD_VECTORS = 100_000
+SHARD_BYTES = 1 << 28
+#: Queries whose id more rows than this have are set against every vector, as a beam would have to pass all of those rows.
+MOST_NAMESAKES = 512
 QUERY_BLOCK = 512  # searched together
 PART_QUERIES = 1 << 16  # of a group at most, about as large as a graph
 SEED = 7
@@ -210,24 +214,33 @@ def _extended(v: np.ndarray, norm: float) -> np.ndarray:
     return (np.hstack([v, rest[:, None]]) / norm).astype(np.float32)
 
 
+@settled("nearest")
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row where is_query (over id) holds, the k other rows found of largest inner product.
 
     Equal vectors are one node that knows its k + 1 smallest ids, as no more can be among anyone's k nearest, so a vector that
-    very many rows share makes no crowd; ties go to the smaller id. Every shard (a hash of the vector; SHARDS, or more from SHARD_VECTORS each on)
+    very many rows share makes no crowd; ties go to the smaller id. Every shard (a hash of the vector; SHARDS, or more from SHARD_VECTORS or SHARD_BYTES each on)
     builds its graph in one task and stores it in the shared folder; blocks of distinct query vectors meet every graph there, and the best
-    k + 1 nodes of all shards are merged. Scores are inner products of the original vectors in double precision.
-    Rows that usable() leaves out take no part; of repeated ids each row is its own, and none is its own neighbour.
+    nodes of all shards are merged. Scores are inner products of the original vectors in double precision.
+    A query meets every shard, so its rows with their vectors are queries times shards: the price of merging all shards' results.
+
+    Rows that usable() leaves out take no part. Of repeated ids each row is its own; no row is a neighbour of one of its id, and such rows take nobody's
+    place: nodes know k rows of an id and 2 k in all, beams widen by the rows of the query's id, and beyond MOST_NAMESAKES of them every vector is compared. An empty table gives none.
     """
     spark = vectors.sparkSession
     schema_out = "query_id long, rank int, vec_id long, score double"
     rows = written(usable(vectors, id_col, vector_col).withColumn("key", F.xxhash64("v")), "vectors")
-    top = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m"), F.approx_count_distinct("key").alias("n")).first()
+    top = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m"), F.approx_count_distinct("key").alias("n"), F.max(F.size("v")).alias("width")).first()
     if top.m is None:
         return spark.createDataFrame([], schema_out)
-    norm, shards = float(top.m) * (1 + 1e-9), max(SHARDS, -(-top.n // SHARD_VECTORS))
-    small = W.partitionBy("key", "v").orderBy("id")
-    members = rows.withColumn("place", F.row_number().over(small)).where(F.col("place") <= k + 1)
+    norm, shards = float(top.m) * (1 + 1e-9), max(SHARDS, -(-top.n // max(1, min(SHARD_VECTORS, SHARD_BYTES // (8 * top.width)))))
+    namesakes = written(rows.groupBy("id").agg(F.count("*").alias("namesakes")).where("namesakes > 1"), "namesakes")
+    repeated = not namesakes.isEmpty()
+    room = 2 * k if repeated else k + 1
+    members = rows
+    if repeated:
+        members = rows.withColumn("place", F.row_number().over(W.partitionBy("key", "v", "id").orderBy("id"))).where(F.col("place") <= k)
+    members = members.withColumn("place", F.row_number().over(W.partitionBy("key", "v").orderBy("id"))).where(F.col("place") <= room)
     nodes = members.groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
     graph_schema = "shard int, ids array<array<long>>, vectors binary, width int, sizes array<int>, nodes binary, links array<binary>"
 
@@ -238,12 +251,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return pd.DataFrame([(int(group["shard"].iloc[0]), [list(x) for x in group["ids"]], v.tobytes(), v.shape[1], [len(x.nodes) for x in layers], layers[-1].nodes.tobytes(), [x.links.tobytes() for x in layers])], columns=[c.split()[0] for c in graph_schema.split(", ")])
 
     graphs = written(nodes.groupBy("shard").applyInPandas(make, graph_schema), "graphs")
-    queries = rows.where(is_query).groupBy("key", "v").agg(F.lit(1).alias("one")).select("key", "v")
+    queries = rows.where(is_query).join(namesakes, "id", "left").groupBy("key", "v").agg(F.coalesce(F.max("namesakes"), F.lit(1)).alias("namesakes"))
     # Where one shard's queries are many, several copies of its graph share them.
     parts = -(-max(1, queries.count()) // PART_QUERIES)
     blocks = queries.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
+    def best_of(found: list[tuple[float, int]]) -> list[dict]:
+        """The first room of found (less score, id), best first, with k of an id at most."""
+        out, times = [], {}
+        for less, i in sorted(found):
+            times[i] = times.get(i, 0) + 1
+            if times[i] <= k:
+                out.append({"score": -less, "id": int(i)})
+                if len(out) == room:
+                    break
+        return out
+
     def probe(key: tuple, asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         columns = ["key", "v", "near"]
         if not len(asked) or not len(graph):
@@ -254,22 +278,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         layers = [Layer(order[:n], np.frombuffer(x, np.int32).reshape(n, -1)) for n, x in zip(g["sizes"], g["links"], strict=True)]
         q = np.stack(asked["v"].to_numpy()).astype(np.float64)
         lengthy, ids = _extended(v, norm), g["ids"]
-        out = []
-        for at in range(0, len(q), QUERY_BLOCK):
-            part = q[at : at + QUERY_BLOCK]
+        more, out = asked["namesakes"].to_numpy(), [None] * len(q)
+        order = np.argsort(more, kind="stable")
+        graph_only = order[more[order] <= MOST_NAMESAKES]
+        for at in range(0, len(graph_only), QUERY_BLOCK):
+            rows_ = graph_only[at : at + QUERY_BLOCK]
+            part, wanted = q[rows_], k + int(more[rows_].max())
             flat = np.hstack([part, np.zeros((len(part), 1))]) / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300)
-            found, _ = search(lengthy, layers, flat.astype(np.float32), k + 1, beam)
+            found, _ = search(lengthy, layers, flat.astype(np.float32), wanted, max(beam, 2 * wanted if wanted > k + 1 else 0))
             exact = np.einsum("qkd,qd->qk", v[np.maximum(found, 0)], part)
-            for row, scores in zip(found, exact, strict=True):
-                near = sorted((-s, i) for node, s in zip(row.tolist(), scores.tolist(), strict=True) if node >= 0 for i in ids[node])[: k + 1]
-                out.append([{"score": -s, "id": int(i)} for s, i in near])
+            for at_row, row, scores in zip(rows_, found, exact, strict=True):
+                out[at_row] = best_of([(-s, i) for node, s in zip(row.tolist(), scores.tolist(), strict=True) if node >= 0 for i in ids[node]])
+        for at_row in order[more[order] > MOST_NAMESAKES]:
+            # Whole shard, best first, until room is full of rows of which no id has more than k.
+            scores, entries, times = v @ q[at_row], [], {}
+            for node in np.argsort(-scores, kind="stable").tolist():
+                if len(entries) >= room and scores[node] < -entries[-1][0]:
+                    break
+                for i in ids[node]:
+                    times[i] = times.get(i, 0) + 1
+                    if times[i] <= k:
+                        entries.append((-float(scores[node]), i))
+            out[at_row] = best_of(entries)
         return pd.DataFrame({"key": asked["key"], "v": asked["v"], "near": out}, columns=columns)
 
     copies = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     near = blocks.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part"))
     near = near.applyInPandas(probe, "key long, v array<double>, near array<struct<score: double, id: long>>")
-    best = near.groupBy("key", "v").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most k + 1 from each shard
-    best = best.withColumn("near", F.slice(F.array_sort("near", lambda a, b: F.when(a.score != b.score, F.when(a.score > b.score, -1).otherwise(1)).otherwise(F.when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(0))), 1, k + 1))
+    best = near.groupBy("key", "v").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most room from each shard
+    by_score = lambda a, b: F.when(a.score != b.score, F.when(a.score > b.score, -1).otherwise(1)).otherwise(F.when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(0))
+    best = best.withColumn("near", F.array_sort("near", by_score) if repeated else F.slice(F.array_sort("near", by_score), 1, room))
     asked = rows.where(is_query).select(F.col("id").alias("query_id"), "key", "v")
     lists = asked.join(best, ["key", "v"]).select("query_id", F.slice(F.filter("near", lambda x: x.id != F.col("query_id")), 1, k).alias("near"))
     return lists.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
