@@ -16,4 +16,4 @@ QUERIES = {
     "op9_hnsw_search": hnsw.op9_hnsw_search,
     "op10_token_files": token_files.op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc_captures": warc.ORACLE}

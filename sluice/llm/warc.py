@@ -5,18 +5,22 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import re
+import io
+import itertools
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import scratch_path, table, written
 
 END = "\r\n\r\n"
-#: An archive file holds no more records than this.
-FILE_RECORDS = 6000
+#: An archive file holds about so many bytes of payload, and no more records than this.
+FILE_BYTES = 64 << 20
+FILE_RECORDS = 60_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -42,28 +46,33 @@ def _clean(value: Column) -> Column:
     return F.regexp_replace(value, r"[\x00-\x20\x7F]+", "%20")
 
 
-def plan_records(pages: DataFrame, least_revisit_bytes: int = 0) -> DataFrame:
+def plan_records(pages: DataFrame, least_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """pages (page_id, url, html) with payload, its digest and size, a record id, and refers_to: the record of the largest page_id of an equal payload, for the others.
 
-    That record is an aggregate of small rows for each digest, joined back; payloads under least_revisit_bytes
-    refer to none. Rows that share the largest id of their payload are all responses.
+    That record is an aggregate of small rows for each digest, so a payload that very many pages share gathers ids only: the html is dealt by page id and digest, into as many
+    partitions as it has file_bytes. Payloads under least_revisit_bytes refer to none. Rows that share the largest id of their payload are all responses.
     """
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.concat(F.lit("urn:x-capture:"), page, F.lit(":"), F.monotonically_increasing_id().cast("string")).alias("rid"))
-    p = p.withColumns({"digest": payload_digest(F.col("payload").cast("binary")), "size": F.octet_length("payload").cast("long")})
-    first = p.groupBy("digest").agg(F.max(F.struct("page_id", "rid")).alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
-    other = ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
-    p = p.join(first, "digest", "left")
-    return p.withColumn("refers_to", F.when((F.col("size") >= least_revisit_bytes) & other, F.col("original.rid"))).drop("original")
-
-
-def write_archives(pages: DataFrame, path: str, least_revisit_bytes: int = 0) -> None:
-    """Write request, response or revisit, and metadata records of each page, in this order, as gzipped WARC files under path.
+    payload = F.coalesce("html", F.lit(""))
+    keys = written(pages.select("page_id", payload_digest(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size")), "keys")
+    first = keys.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"), F.max("size").alias("size"))
+    rid = lambda page, number: F.concat(F.lit("urn:x-capture:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), F.col("digest"), F.lit(":"), number.cast("string"))
+    repeated = first.where((F.col("n") > 1) & (F.col("size") >= least_revisit_bytes)).select("digest", "original")
+    others = keys.select("page_id", "digest").distinct().join(repeated, "digest").where(~F.col("page_id").eqNullSafe(F.col("original")))
+    others = others.select(F.struct("page_id", "digest").alias("same"), rid(F.col("original"), F.lit(1)).alias("refers_to"))
+    files = 1 + (keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // file_bytes)
+    p = pages.select("page_id", "url", payload.alias("payload")).withColumns({"digest": payload_digest(F.col("payload").cast("binary")), "size": F.octet_length("payload").cast("long")})
+    p = p.withColumn("same", F.struct("page_id", "digest")).repartition(files, "same")
+    p = p.withColumn("number", F.row_number().over(W.partitionBy("same").orderBy("url")))
+    return p.join(others, "same", "left").withColumn("rid", rid(F.col("page_id"), F.col("number"))).drop("same", "number")
+
+
+def write_archives(pages: DataFrame, path: str, least_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Write request, response or revisit, and metadata records of each page, in this order, as gzipped WARC files of about file_bytes of payload (and of FILE_RECORDS records at most) under path.
 
     A line of the text writer is a record, and its line separator the end of a record. The payload follows an
     HTTP head; a revisit has the head alone.
     """
-    p = plan_records(pages, least_revisit_bytes)
+    p = plan_records(pages, least_revisit_bytes, file_bytes)
     url = F.coalesce(_clean(F.col("url")), F.lit("urn:x-none"))
     host = F.coalesce(F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1), F.lit(""))
     number = ("X-Page-ID", F.col("page_id").cast("string"))
@@ -80,41 +89,43 @@ def write_archives(pages: DataFrame, path: str, least_revisit_bytes: int = 0) ->
     records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
-_HEAD = re.compile(rb"\r\n\r\n")
-
-
-def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a WARC file."""
-    at = 0
-    while at < len(content):
-        if not content.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = _HEAD.search(content, at)
-        lines = content[at : end.start()].decode("utf-8").split("\r\n")[1:]
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        size = int(headers["content-length"])
-        yield headers, content[end.end() : end.end() + size]
-        at = end.end() + size + 4
+def parse_archive(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a WARC file, one record in memory at a time."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {line[:40]!r}")
+        headers = {}
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode("utf-8").partition(": ")
+            headers[name.lower()] = value
+        block = stream.read(size := int(headers["content-length"]))
+        if len(block) < size:
+            raise ValueError("a record is cut short")
+        yield headers, block
+        stream.read(len(END))
+
+
+def _fields(h: dict[str, str], block: bytes) -> tuple:
+    kind, size, digest, octets = h["warc-type"], None, None, None
+    if kind == "response":
+        payload = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
+        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    elif kind == "metadata":
+        octets = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if x)["octets"]
+    return (h["warc-record-id"], kind, h.get("warc-concurrent-to"), int(h["x-page-id"]) if "x-page-id" in h else None, h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-refers-to"), size, digest, octets)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the WARC files under path; of a response, its payload's bytes and digest are computed from what was read."""
+    """One row per record of the WARC files under path; of a response, its payload's bytes and digest are computed from what was read. A task holds a file as it is, compressed, and unpacks record by record."""
     schema = "record_id string, kind string, concurrent_to string, page_id long, url string, declared string, refers_to string, payload_bytes long, payload_digest string, octets string"
+    columns = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = []
-                for h, block in parse_archive(gzip.decompress(content)):
-                    kind, size, digest, octets = h["warc-type"], None, None, None
-                    if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    elif kind == "metadata":
-                        octets = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if x)["octets"]
-                    rows.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), int(h["x-page-id"]) if "x-page-id" in h else None, h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-refers-to"), size, digest, octets))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-                yield out.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+                records = parse_archive(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))))
+                while rows := [_fields(*record) for record in itertools.islice(records, 2000)]:
+                    yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "payload_bytes": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(run, schema)
@@ -136,13 +147,14 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def resolve(captures: DataFrame) -> DataFrame:
-    """Payload size and digest of every capture: a revisit has those of the response it refers to, whose digest must be the one it declares."""
-    m = captures.select("main.*")
+    """Payload size and digest of every capture: a revisit has those of the response it refers to, whose digest must be the one it declares. The target of its request and the octets of its metadata stand beside them."""
+    m = captures.select("main.*", F.col("request.url").alias("request_url"), F.col("metadata.octets").cast("long").alias("metadata_octets"))
     there = m.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("p"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
-    own = m.where("refers_to is null").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    sides = ("url", "request_url", "metadata_octets")
+    own = m.where("refers_to is null").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), *sides)
     others = m.where("refers_to is not null").drop("payload_bytes", "payload_digest").join(there, "refers_to", "left")
     same = F.col("declared") == F.col("d")
-    others = others.select("page_id", F.when(same, F.col("b")).alias("payload_bytes"), F.when(same, F.col("d")).alias("payload_digest"), F.col("kind").alias("record_type"), F.col("p").alias("refers_to"))
+    others = others.select("page_id", F.when(same, F.col("b")).alias("payload_bytes"), F.when(same, F.col("d")).alias("payload_digest"), F.col("kind").alias("record_type"), F.col("p").alias("refers_to"), *sides)
     return own.union(others)
 
 
@@ -155,3 +167,15 @@ def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return resolve(assemble(read_archives(spark, path)))
+
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, coalesce(regexp_replace(url, '[\\x00-\\x20\\x7F]+', '%20', 'g'), 'urn:x-none') AS url FROM pages),
+d AS (SELECT *, sha1(payload) AS sha, max(page_id) OVER (PARTITION BY payload) AS original FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+array_to_string([substr('{_DIGITS}', CAST((CAST('0x' || substr(sha, 10 * (i // 8) + 1, 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS INT) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+CASE WHEN page_id IS NOT DISTINCT FROM original THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to,
+url, url AS request_url, CAST(strlen(payload) AS BIGINT) AS metadata_octets FROM d
+"""
