@@ -178,11 +178,11 @@ def _any_differences(scans: list[bytes], samples: int, counts: bytes, values: by
     return out
 
 
-def decode_frames(frames: list[memoryview]) -> np.ndarray:
-    """Samples (frame, row, column) of lossless JPEG frames that share one head."""
+def decoded(frames: list[memoryview]) -> Iterator[np.ndarray]:
+    """Samples (frame, row, column) of lossless JPEG frames that share one head, in blocks of FRAMES_AT_ONCE."""
     counts, values, rows, columns, start = _parse_jpeg(frames[0])
     head, samples = bytes(frames[0][:start]), rows * columns
-    even, out = _even_table(counts, values), []
+    even = _even_table(counts, values)
     for at in range(0, len(frames), FRAMES_AT_ONCE):
         scans = []
         for f in frames[at : at + FRAMES_AT_ONCE]:
@@ -197,16 +197,25 @@ def decode_frames(frames: list[memoryview]) -> np.ndarray:
             d = _any_differences(scans, samples, counts, values).reshape(len(scans), rows, columns)
         x = d.astype(np.int32)
         x[:, :, 0] = np.cumsum(x[:, :, 0], axis=1) + 128
-        out.append((np.cumsum(x, axis=2) & 0xFF).astype(np.uint8))
-    return np.concatenate(out)
+        yield (np.cumsum(x, axis=2) & 0xFF).astype(np.uint8)
 
 
-def shots(samples: np.ndarray, fps: float, bins: int = 16, window: int = 12, factor: float = 3.0, least: float = 0.2) -> list[tuple[float, float, int, int]]:
-    """Clips (start s, end s, first frame, frames): a cut stands where a frame's histogram differs from the one before by more
-    than factor times the mean difference of the window of frames before it, and by least of the samples."""
+def decode_frames(frames: list[memoryview]) -> np.ndarray:
+    """All samples of the frames."""
+    return np.concatenate(list(decoded(frames)))
+
+
+def histograms(samples: np.ndarray, bins: int = 16) -> np.ndarray:
+    """The share of each frame's samples in each of bins grey levels."""
     n = len(samples)
     grey = (samples.reshape(n, -1).astype(np.int64) * bins >> 8) + np.arange(n)[:, None] * bins
-    hist = np.bincount(grey.ravel(), minlength=n * bins).reshape(n, bins) / samples[0].size
+    return np.bincount(grey.ravel(), minlength=n * bins).reshape(n, bins) / samples[0].size
+
+
+def shots(hist: np.ndarray, fps: float, window: int = 12, factor: float = 3.0, least: float = 0.2) -> list[tuple[float, float, int, int]]:
+    """Clips (start s, end s, first frame, frames) by the frames' histograms: a cut stands where one differs from that before by more
+    than factor times the mean difference of the window of frames before it, and by least of the samples."""
+    n = len(hist)
     diff = np.abs(np.diff(hist, axis=0)).sum(1) / 2
     sums = np.concatenate([[0.0], np.cumsum(diff)])
     k = np.arange(len(diff))
@@ -216,7 +225,7 @@ def shots(samples: np.ndarray, fps: float, bins: int = 16, window: int = 12, fac
 
 
 def to_media(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep columns, n_bytes and media: every whole text as the frames of an AVI."""
+    """keep columns, n_bytes and media: every whole text as the frames of an AVI, null and empty ones as one frame. Repeated rows give repeated rows; an empty table gives none."""
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "n_bytes long", "media binary"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,7 +241,7 @@ def to_media(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def clips(media: DataFrame, *keep: str) -> DataFrame:
-    """A row for each shot of each media: keep columns, shot, start_s, end_s, first_frame, n_frames."""
+    """A row for each shot of each media: keep columns, shot, start_s, end_s, first_frame, n_frames. A clip has one shot at least; media must not be null."""
     schema = ", ".join([*(f"`{k}` {media.schema[k].dataType.simpleString()}" for k in keep), "shot int, start_s double, end_s double, first_frame int, n_frames int"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,7 +249,8 @@ def clips(media: DataFrame, *keep: str) -> DataFrame:
             rows = []
             for values in batch[[*keep, "media"]].itertuples(index=False):
                 fps, frames = read_avi(values[-1])
-                rows += [(*values[:-1], i, *s) for i, s in enumerate(shots(decode_frames(frames), fps))]
+                hist = np.concatenate([histograms(block) for block in decoded(frames)])
+                rows += [(*values[:-1], i, *s) for i, s in enumerate(shots(hist, fps))]
             yield pd.DataFrame(rows, columns=[*keep, "shot", "start_s", "end_s", "first_frame", "n_frames"])
 
     return media.select(*keep, "media").mapInPandas(run, schema)
@@ -255,11 +265,15 @@ def digest_media(media: DataFrame) -> DataFrame:
             rows = []
             for doc_id, n_bytes, data in zip(batch["doc_id"], batch["n_bytes"], batch["media"], strict=True):
                 fps, frames = read_avi(data)
-                samples = decode_frames(frames)
-                payload = samples.tobytes()
-                cut = shots(samples, fps)
-                feature = f"{len(samples)} frames, {len(cut)} shots: " + ",".join(f"{a:.2f}-{b:.2f}" for a, b, _, _ in cut)
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                size, sha, tail, hist = 0, hashlib.sha256(), b"", []
+                for block in decoded(frames):
+                    payload = block.tobytes()
+                    size, tail = size + len(payload), payload[-32:]
+                    sha.update(payload)
+                    hist.append(histograms(block))
+                cut = shots(np.concatenate(hist), fps)
+                feature = f"{len(frames)} frames, {len(cut)} shots: " + ",".join(f"{a:.2f}-{b:.2f}" for a, b, _, _ in cut)
+                rows.append((doc_id, n_bytes, size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
 
     return media.select(F.col("doc_id").cast("long"), "n_bytes", "media").mapInPandas(run, schema)
@@ -267,5 +281,4 @@ def digest_media(media: DataFrame) -> DataFrame:
 
 def op7_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts are one frame of 255s; equal texts give equal media; an empty table gives no row."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return digest_media(to_media(table(spark, sf_dir, "documents"), "doc_id"))
