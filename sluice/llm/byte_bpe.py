@@ -19,6 +19,8 @@ _GAP = re.compile(r" (?=\S)")
 CACHE = 400_000
 #: Prefixes that stay stored with their last tokens.
 NODES = 1_000_000
+#: Pieces of more bytes are encoded without storing their prefixes.
+LONG = 512
 
 
 class PrefixBPE:
@@ -28,8 +30,8 @@ class PrefixBPE:
     their bytes together by rank gives just those two. Appending bytes extends the array and changes none of it.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], nodes: int = NODES):
+        self.ranks, self.nodes = ranks, nodes
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -100,10 +102,10 @@ class PrefixBPE:
 
     # -- prefixes
 
-    def _extend(self, raw: bytes, last: list[int], below: int | None = None) -> list[int]:
-        """last, carried on to the end of raw; -1 where no token fits. below leaves out tokens of that rank or more."""
+    def _extend(self, raw: bytes, last: list[int], below: int | None = None, upto: int | None = None) -> list[int]:
+        """last, carried on to the end of raw, or to upto; -1 where no token fits. below leaves out tokens of that rank or more."""
         ranks, longest = self.ranks, self.longest
-        for end in range(len(last) + 1, len(raw) + 1):
+        for end in range(len(last) + 1, (len(raw) if upto is None else upto) + 1):
             found = -1
             for start in range(max(0, end - longest), end):
                 token = ranks.get(raw[start:end])
@@ -140,7 +142,7 @@ class PrefixBPE:
         edited, shift = raw[:start] + new + raw[end:], len(new) - (end - start)
         fresh, same = last[:start], 0
         for at in range(start, len(edited)):
-            self._extend(edited[: at + 1], fresh)
+            self._extend(edited, fresh, upto=at + 1)
             old = at - shift
             # A prefix's last token depends on the last tokens of a token's length before it, and on the bytes there.
             same = same + 1 if at >= start + len(new) + self.longest and 0 <= old < len(last) and last[old] == fresh[-1] else 0
@@ -157,13 +159,18 @@ class PrefixBPE:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        if len(self._last) > NODES:
+        if len(raw) > LONG:
+            out = self._walk(raw, self._extend(raw, []))
+            if out is None:
+                raise ValueError("the vocabulary lacks single bytes")
+            return out
+        if len(self._last) > self.nodes:
             self.forget()
         children, stored, last, at = self._children, self._last, [], 0
         for end, byte in enumerate(raw, 1):
             number = children.get(at << 8 | byte)
             if number is None:
-                self._extend(raw[:end], last)
+                self._extend(raw, last, upto=end)
                 number = children[at << 8 | byte] = len(stored)
                 stored.append(last[-1])
             else:
@@ -183,9 +190,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class TextBPE:
     """Encodes texts piece by piece; stretches between spaces, and pieces, that were seen before are looked up."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.bpe, self.pattern = PrefixBPE(ranks), regex.compile(pattern)
-        self.known = Recent(self._joined, CACHE)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, nodes: int = NODES, known: int = CACHE):
+        self.bpe, self.pattern = PrefixBPE(ranks, nodes), regex.compile(pattern)
+        self.known = Recent(self._joined, known)
 
     def _joined(self, stretch: str) -> str:
         """Ids of a stretch of text; a piece by itself matches as it does in a text, so stretches and pieces share what is known."""
@@ -214,17 +221,17 @@ class TextBPE:
 
 
 @lru_cache(2)
-def encoder(path: str, pattern: str) -> TextBPE:
+def encoder(path: str, pattern: str, nodes: int = NODES, known: int = CACHE) -> TextBPE:
     """One for each process: what it has seen serves all tasks that run there."""
-    return TextBPE(load_ranks(path), pattern)
+    return TextBPE(load_ranks(path), pattern, nodes, known)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
-    """keep columns, n_tokens and ids (array<int>) of each whole text."""
+    """keep columns, n_tokens and ids (array<int>) of each whole text. Null and empty texts have none; repeated rows give repeated rows; other columns go."""
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "n_tokens long, ids array<int>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = encoder(path, pattern)
+        bpe = encoder(path, pattern, NODES // 4, CACHE // 4)  # other stages run in the same workers: about a third of the memory
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
