@@ -47,6 +47,11 @@ def with_hooks(df: DataFrame, opened: Callable[[], object], each: Callable[[obje
     return df.mapInPandas(run, schema)
 
 
+def modulo_key(value: Column, n: int) -> Column:
+    """The remainder of value by n with the sign of value, as keys by a remainder have it: -3 by 2 is -1."""
+    return value % F.lit(n)
+
+
 def by_number(df: DataFrame, parts: int, key: Column) -> DataFrame:
     """Rows placed by key modulo parts exactly, not by a hash."""
     return df.repartitionById(parts, F.pmod(key.cast("int"), F.lit(parts)).cast("int"))

@@ -78,6 +78,12 @@ def custom_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy(F.spark_partition_id().cast("long").alias("part")).agg(F.count("*").alias("n"))
 
 
+def modulo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by a remainder, for numbers of either sign."""
+    key = routing.modulo_key(F.col("event_id") - 500, 3)
+    return table(spark, sf_dir, "events").groupBy(key.cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
 def rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.rebalanced(table(spark, sf_dir, "events"), 8).groupBy("event_type").agg(F.count("*").alias("n"))
 
@@ -98,7 +104,7 @@ def sql_insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-QUERIES = {f.__name__: f for f in (filter_eq, map_plus_one, map_hooks, flatmap_cond, word_count, csv_parse, json_field, union_all, connect_map, split_tags, side_warn, codec_roundtrip, custom_partition, rebalance, generated, sql_insert_select)}
+QUERIES = {f.__name__: f for f in (filter_eq, map_plus_one, map_hooks, flatmap_cond, word_count, csv_parse, json_field, union_all, connect_map, split_tags, side_warn, codec_roundtrip, custom_partition, modulo_keys, rebalance, generated, sql_insert_select)}
 _NUM = "lpad(lower(printf('%x', CASE WHEN {0} < 0 THEN {0} + 4294967296 ELSE {0} END)), 8, '0')"
 ORACLES = {
     "filter_eq": "SELECT event_id, user_id, value FROM events WHERE event_type = 'click'",
@@ -114,6 +120,7 @@ ORACLES = {
     "side_warn": "SELECT event_id, value, 'main' AS out_tag, CAST(NULL AS VARCHAR) AS text FROM events UNION ALL SELECT event_id, value, 'warn', 'over the limit: event ' || event_id FROM events WHERE value > 10",
     "codec_roundtrip": "SELECT c_custkey, " + " || ".join([_NUM.format("(c_nationkey - 10)::BIGINT"), _NUM.format("strlen(c_name)"), "lower(hex(encode(c_name)))", _NUM.format("strlen(c_mktsegment)"), "lower(hex(encode(c_mktsegment)))"]) + " AS raw, c_name AS name, c_mktsegment AS id, c_nationkey - 10 AS age FROM customer",
     "custom_partition": "SELECT user_id % 4 AS part, count(*) AS n FROM events GROUP BY ALL",
+    "modulo_keys": "SELECT (event_id - 500) % 3 AS k, count(*) AS n FROM events GROUP BY ALL",
     "rebalance": "SELECT event_type, count(*) AS n FROM events GROUP BY ALL",
     "generated": "SELECT 'line' AS kind, 'Number:' || i AS value FROM range(1000) AS r(i) UNION ALL SELECT 'sensor', CAST(i + 1 AS VARCHAR) FROM range(1000) AS r(i)",
     "sql_insert_select": "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation WHERE n_nationkey > 5",

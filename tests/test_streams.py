@@ -1,6 +1,8 @@
 """Streams over several micro-batches: the events in a folder of files, one file a batch."""
 
 import os
+import socket
+import threading
 import time
 
 import duckdb
@@ -88,3 +90,39 @@ def test_expired_values_are_forgotten(spark, tmp_path):
     wait(3)
     query.stop()
     assert [r.previous for r in spark.table("forgotten").orderBy("event_id").collect()] == [None, 0.0, None]
+
+
+def started(stream, name, home):
+    return stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(home / name)).trigger(processingTime="1 second").start()
+
+
+def rows_of(spark, query, least):
+    end = time.time() + 90
+    while time.time() < end and spark.table(query.name).count() < least:
+        time.sleep(0.3)
+    query.stop()
+    return [r.value for r in spark.table(query.name).collect()]
+
+
+def test_a_generator_without_end(spark, tmp_path):
+    got = rows_of(spark, started(tables.numbered_stream(spark, 5, "n:"), "generated_lines", tmp_path), 5)
+    assert {"n:0", "n:1", "n:2"} <= set(got) and len(set(got)) == len(got)
+
+
+def test_lines_of_a_socket(spark, tmp_path):
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        # The source may connect more than once: every connection gets the lines.
+        while True:
+            try:
+                with server.accept()[0] as c:
+                    c.sendall(b"one\ntwo\n")
+                    time.sleep(60)
+            except OSError:
+                return
+
+    threading.Thread(target=serve, daemon=True).start()
+    got = rows_of(spark, started(tables.socket_stream(spark, "127.0.0.1", server.getsockname()[1]), "socket_lines", tmp_path), 2)
+    server.close()
+    assert got[:2] == ["one", "two"]
