@@ -10,15 +10,17 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, table, written
+from .common import connected_components, settled, table, unused, written
 
 #: Row b holds bit i of byte b in byte i of a long: up to 255 rows add up without a carry between bits.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 BLOCK = 255 * 128
-BUCKET = 64
+#: Rows of a bucket up to which every pair of it is checked.
+BUCKET = 16
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -192,18 +194,18 @@ def plan(rows: int, both: np.ndarray, distance: int, counts: range, most: int =
 
 
 def signatures(prints: DataFrame, parts: list[Partition], probing: bool, *columns: str) -> DataFrame:
-    """columns (longs) and key: a row for each key of each row of prints, the partition's number above its bits. Indexed rows stand under their own key
-    and, at a threshold of 2, those one bit from it; probing rows also under those at a threshold of 1."""
+    """columns (longs), key and own: a row for each key of each row of prints, the partition's number above its bits. Indexed rows stand under their own key
+    and, at a threshold of 2, those one bit from it; probing rows also under those at a threshold of 1. own tells a row's own key."""
     used = [(number, p) for number, p in enumerate(parts) if p.threshold >= 0]
     longs = sorted({b // 64 for _, p in used for b in p.bits} | {0})
     fields = list(dict.fromkeys([*columns, *(f"f{i}" for i in longs)]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.iloc[at : at + 4096]
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
                 words = {i: part[f"f{i}"].to_numpy(np.int64).view(np.uint64) for i in longs}
-                rows, keys = [], []
+                rows, keys, owns = [], [], []
                 for number, p in used:
                     own = np.full(len(part), number << 40, np.uint64)
                     for i, b in enumerate(p.bits):
@@ -212,17 +214,18 @@ def signatures(prints: DataFrame, parts: list[Partition], probing: bool, *column
                     for mask in [0, *(1 << i for i in range(len(p.bits)))] if wide else [0]:
                         rows.append(np.arange(len(part)))
                         keys.append(own ^ np.uint64(mask))
+                        owns.append(np.full(len(part), mask == 0))
                 out = part[list(columns)].iloc[np.concatenate(rows)]
-                yield out.assign(key=np.concatenate(keys).view(np.int64))
+                yield out.assign(key=np.concatenate(keys).view(np.int64), own=np.concatenate(owns))
 
-    schema = ", ".join([*(f"{c} long" for c in columns), "key long"])
+    schema = ", ".join([*(f"{c} long" for c in columns), "key long", "own boolean"])
     return prints.select(*fields).mapInPandas(run, schema)
 
 
 # ---------------------------------------------------------------- links between fingerprints
 
 
-def links_within(prints: DataFrame, distance: int, bucket: int = BUCKET) -> DataFrame:
+def links_within(prints: DataFrame, distance: int, bucket: int = 64) -> DataFrame:
     """Edges (a, b) that connect exactly what links of distance (0 to 2) or fewer bits connect among the distinct longs f0.
 
     Keys that more than bucket rows stand under are not joined pair by pair. Their rows are linked through
@@ -235,7 +238,7 @@ def links_within(prints: DataFrame, distance: int, bucket: int = BUCKET) -> Data
     if rows < 2:
         return prints.sparkSession.createDataFrame([], "a long, b long")
     parts = plan(rows, both, distance, range(2, 5) if distance else range(1, 3))
-    index, probe = signatures(prints, parts, False, "f0"), signatures(prints, parts, True, "f0")
+    index, probe = signatures(prints, parts, False, "f0").drop("own"), signatures(prints, parts, True, "f0").drop("own")
     crowded = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key")
     a, b = probe.join(crowded, "key", "left_anti").select("key", F.col("f0").alias("a")), index.select("key", F.col("f0").alias("b"))
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
@@ -250,6 +253,7 @@ def links_within(prints: DataFrame, distance: int, bucket: int = BUCKET) -> Data
     return pairs.union(stars).distinct()
 
 
+@settled("components")
 def components(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links of distance or fewer bits reach.
 
@@ -293,12 +297,23 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "atext", "btext").mapInPandas(run, "a long, b long")
 
 
-def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int, texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, rounds: int = 3) -> DataFrame:
+def labels_of(links: DataFrame) -> DataFrame:
+    """id and label of the ends of links (a, b): of the end itself and those it is linked to, the one with most links (then the least id), and of that one the same again. Rows of one label lie in one component."""
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select(F.col("b").alias("id"), F.col("a").alias("to")))
+    degree = both.groupBy("id").agg(F.count("*").alias("n"))
+    best = F.max(F.struct("n", (-F.col("to")).alias("no")))
+    over = both.join(degree.withColumnRenamed("id", "to"), "to").groupBy("id").agg(best.alias("best"))
+    one = written(over.join(degree, "id").select("id", F.greatest("best", F.struct("n", (-F.col("id")).alias("no"))).alias("top")).select("id", (-F.col("top.no")).alias("label")), "labels")
+    return one.join(one.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label"))
+
+
+def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int, texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, turns: int = 2) -> DataFrame:
     """Links (a, b) between ids of nodes (id, f0, ...) that share a key of parts, differ in most bits or fewer of all longs and whose texts (id, text) are alike().
 
-    In buckets of at most bucket rows every pair is checked. In a crowded bucket each row is checked against the one that shares most crowded
-    buckets, which is the text the others are copies of, if there is one, and against the least id. Rows that this leaves
-    without any link go through the same again among themselves, and after rounds of that every pair of what is left is checked.
+    Crowded buckets, those of over bucket rows, come first. In the first turn their rows are checked against a pivot, the one that shares most crowded
+    buckets, which is the text the others are copies of, if there is one. In each further turn the pivot is such a row among those that no
+    pivot of the bucket has the label of, and it is checked against the rows of other labels, until a turn adds no link. Then every pair of different labels in the other buckets is checked. So a row meets at most
+    bucket others of a key and as many pivots as there are turns, and pairs grow in proportion to the rows, however large a group of near copies is.
     """
     first = ["f0", "f1"][:longs]
     coarse = most * 64 * len(first) / (64 * longs)
@@ -309,79 +324,96 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
         bits = [F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in fields]
         return sum(bits[1:], bits[0])
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b), on all bits and then on the texts."""
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("key", F.col("id").alias(name), F.col("label").alias(f"{name}label"), *[F.col(f).alias(f"{name}{f}") for f in first])
+
+    def checked(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs (a, b) near on all bits that were not tried before, and those of them that are alike."""
         left = nodes.select(F.col("id").alias("a"), *[F.col(f).alias(f"a{f}") for f in every])
         right = nodes.select(F.col("id").alias("b"), *[F.col(f).alias(f"b{f}") for f in every])
         close = pairs.join(left, "a").join(right, "b").where(differing(every) <= most).select("a", "b")
-        return alike(close, texts, width, similarity)
-
-    def sides(rows: DataFrame, probing: bool, name: str) -> DataFrame:
-        found = signatures(rows, parts, probing, "id", *first)
-        return found.select("key", F.col("id").alias(name), *[F.col(f).alias(f"{name}{f}") for f in first])
-
-    found, left = None, nodes
-    for turn in range(rounds + 1):
-        index, probe = sides(left, False, "b"), sides(left, True, "a")
-        sizes = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
-        crowded = written(sizes, "crowded")
-        last = turn == rounds or crowded.isEmpty()
-        calm = probe if last else probe.join(crowded, "key", "left_anti")
-        pairs = calm.join(index, "key").where((F.col("a") < F.col("b")) & (differing(first) <= coarse)).select("a", "b").distinct()
-        links = written(checked(pairs), "links")
-        found = links if found is None else found.union(links)
-        if last:
-            break
-        busy = written(index.join(crowded, "key").select("key", F.col("b").alias("id"), "n"), "busy")
-        rank = busy.groupBy("id").agg(F.sum("n").alias("rank"))
-        ranked = busy.select("key", "id").join(rank, "id")
-        pivots = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("no"))).alias("top"), F.min("id").alias("low"))
-        pivots = pivots.select("key", F.explode(F.array_distinct(F.array(-F.col("top.no"), F.col("low")))).alias("p"))
-        stars = busy.select("key", "id").join(pivots, "key").where("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        stars = written(checked(stars), "links")
-        found = found.union(stars)
-        linked = found.select("a").union(found.select("b")).distinct()
-        rest = busy.select("id").distinct().join(linked.withColumnRenamed("a", "id"), "id", "left_anti")
-        left = written(nodes.join(rest, "id", "left_semi"), "rest")
-        if left.isEmpty():
-            break
-    return found.distinct()
-
-
+        close = written(close if tried is None else close.join(tried, ["a", "b"], "left_anti"), "close")
+        return close, written(alike(close, texts, width, similarity), "links")
+
+    def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return rows.withColumn("label", F.col("id"))
+        return rows.join(labels_of(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    keys = signatures(nodes, parts, True, "id", *first)
+    crowded = written(keys.where("own").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "crowded")
+    tried = links = used = None
+    if not crowded.isEmpty():
+        busy = keys.join(crowded, "key")
+        rank = busy.where("own").groupBy("id").agg(F.sum("n").alias("rank"))
+        busy = written(busy.drop("n").join(rank, "id", "left"), "busy")
+        for turn in range(turns):
+            rows = written(labelled(busy, links), "labelled")
+            mine = rows.where("own")
+            if used is not None:
+                mine = mine.join(labelled(used, links).select("key", "label").distinct(), ["key", "label"], "left_anti")
+            top = mine.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("no"))).alias("top"))
+            pivots = written(top.select("key", (-F.col("top.no")).alias("id")), "pivots")
+            used = pivots if used is None else used.union(pivots)
+            pairs = side(rows, "a").join(side(mine.join(pivots, ["key", "id"], "left_semi"), "b"), "key").where((F.col("alabel") != F.col("blabel")) & (differing(first) <= coarse))
+            close, new = checked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tried)
+            tried, links = (close, new) if tried is None else (tried.union(close), links.union(new))
+            if new.isEmpty():
+                break
+    named = labelled(nodes, links)
+    calm = signatures(named, parts, True, "id", "label", *first).join(crowded.select("key"), "key", "left_anti")
+    pairs = side(calm, "a").join(side(calm.where("own"), "b"), "key").where((F.col("a") < F.col("b")) & (F.col("alabel") != F.col("blabel")) & (differing(first) <= coarse))
+    _, new = checked(pairs.select("a", "b").distinct(), tried)
+    return new if links is None else links.union(new).distinct()
+
+
+@settled("groups")
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """doc_id and group, the smallest doc_id among the near copies that links reach, for each distinct doc_id of docs that is not null.
+    """doc_id, h (a hash of the text, so that rows which share an id are told apart) and keep, for each distinct pair of them of docs whose doc_id is not null:
+    keep holds for the smallest of each group of near copies that links reach.
 
     SimHash over the distinct shingles of width words. As many bits are taken as let recall of the pairs at just that similarity (and nearly all
     more similar ones) meet in a partition; which bits stand together and each partition's threshold come from plan(). Pairs up to three standard
     deviations beyond the expected distance go on to the exact similarity, which decides. Texts of one fingerprint are one node. Empty and null texts have fingerprint zero and are one group.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     differ, bits, m = bits_for(rows.count(), similarity, recall)
     longs = -(-m * bits // 64)
     every = [f"f{i}" for i in range(longs)]
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    prints = written(fingerprints(hashed, width, longs, distinct=True, keep=("doc_id", "h")), "prints")
-    nodes = written(prints.groupBy(*every).agg(F.min(F.struct("doc_id", "h")).alias("low")).select(*every, F.col("low.doc_id").alias("id"), "low.h"), "nodes")
-    texts = hashed.join(nodes.select(F.col("id").alias("doc_id"), "h"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("id"), "h", "text")
+    prints = written(fingerprints(rows, width, longs, distinct=True, keep=("doc_id", "h")), "prints")
+    low = prints.groupBy(*every).agg(F.min(F.struct("doc_id", "h")).alias("low"))
+    nodes = written(low.select(F.monotonically_increasing_id().alias("id"), "low", *every), "nodes")
+    # The texts that stand for the nodes, read several times: equal rows of a node's text give it once.
+    texts = rows.join(nodes.select("id", "low.doc_id", "low.h"), ["doc_id", "h"]).groupBy("id").agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")
     n, both = bit_statistics(nodes, longs)
     count = 64 * longs // bits
     parts = plan(n, both, count - 1, range(count, count + 1), most=1)
     most = math.floor(differ * 64 * longs + 3 * math.sqrt(differ * (1 - differ) * 64 * longs))
-    links = near_links(nodes, longs, parts, most, texts.select("id", "text"), width, similarity)
+    links = near_links(nodes.drop("low"), longs, parts, most, texts, width, similarity)
     of = connected_components(links)
-    named = nodes.join(of, nodes.id == of.node, "left").select(*every, F.coalesce("component", "id").alias("group"))
-    return prints.join(named, every).groupBy("doc_id").agg(F.min("group").alias("group"))
+    named = nodes.join(of, nodes.id == of.node, "left").select(*every, "low", F.coalesce("component", "id").alias("group"))
+    least = named.groupBy("group").agg(F.min("low").alias("least"))
+    kept = named.join(least, "group").where("low = least").select("low.doc_id", "low.h", F.lit(True).alias("keep"))
+    return prints.select("doc_id", "h").distinct().join(kept, ["doc_id", "h"], "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group the row of the smallest doc_id stays, and one row of a doc_id that repeats. Rows without a doc_id stay."""
-    groups = written(near_groups(docs, width, similarity), "groups")
-    keepers = groups.where(F.col("doc_id") == F.col("group")).select("doc_id")
-    kept = docs.join(keepers, "doc_id", "left_semi").select(docs.columns)
-    repeated = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs without near copies: of each group the row of the smallest doc_id stays (then of the least text hash), and of rows equal in doc_id and text
+    the least in its other columns. Rows without a doc_id stay; empty and null texts are one group; an empty table gives none."""
+    kept = near_groups(docs, width, similarity).where("keep")
+    id_, h = unused(docs, "id"), unused(docs, "h")
+    keyed = docs.where("doc_id is not null").withColumns({id_: F.col("doc_id").cast("long"), h: F.xxhash64("text")})
+    kept = keyed.join(kept.select(F.col("doc_id").alias(id_), F.col("h").alias(h)), [id_, h], "left_semi")
+    # One row of each key: few keys have more, so the rows of a key are numbered where they lie.
+    least = kept.groupBy(id_, h).agg(F.count("*").alias("n"))
+    again = written(least.where("n > 1").select(id_, h), "repeated")
+    if not again.isEmpty():
+        no = unused(docs, "no")
+        others = [F.col(c) for c in docs.columns if c != "text" and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+        some = kept.join(again, [id_, h], "left_semi").withColumn(no, F.row_number().over(W.partitionBy(id_, h).orderBy(*others))).where(F.col(no) == 1)
+        kept = kept.join(again, [id_, h], "left_anti").unionByName(some.drop(no))
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
