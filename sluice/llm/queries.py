@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, byte_bpe, hnsw, mixing, passages, quality, simhash, token_files, trie_counts, warc
+from . import alignment, avi, byte_bpe, hnsw, merkle, mixing, passages, quality, rules, simhash, token_files, trie_counts, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_hnsw_search": hnsw.op9_hnsw_search,
     "op10_token_files": token_files.op10_token_files,
+    "op11_quality_rules": rules.op11_quality_rules,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
-ORACLES: dict[str, str] = {"op3_warc_captures": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_warc_captures": warc.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
