@@ -82,7 +82,45 @@ def stream_timer_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(tops, name="timer").select(_ntz("window_start"), "rank", "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (stream_tumble_append, stream_tumble_update, stream_top2, stream_interval_join, stream_alarm, stream_late_split, stream_window_join, stream_running_top3, stream_map_count, stream_timer_top2)}
+#: An order of arrival in which events come up to 301 places late.
+_DISORDER = "event_id + event_id * 7919 % 301"
+
+
+def stream_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every firing of the windows of six hours of each user, kept open six hours for late rows, and the rows that came later still; a user's watermark is two hours behind."""
+    rows = _timed(spark, sf_dir, "10 days").select("user_id", "event_id", F.unix_micros("ts").alias("us"), F.round(F.col("value") * 100).cast("long").alias("value"), F.expr(_DISORDER).alias("arrival"), "ts")
+    fired = processors.with_state(rows, "user_id", processors.LateWindows(6 * 3600, 2 * 3600, 6 * 3600), f"user_id long, {processors.LateWindows.SCHEMA}, event_id long", "EventTime")
+    return drained(fired, name="firings").select("user_id", "out_tag", F.timestamp_micros("window_us").cast("timestamp_ntz").alias("window_start"), "firing", "n", "total", "elements", "event_id")
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("event_type") == "click", "left").otherwise("right")
+    return event_stream(spark, sf_dir).where("event_type IN ('click', 'purchase')").select("user_id", "event_id", F.unix_micros("ts").alias("us"), side.alias("side"), F.col("event_id").alias("arrival"))
+
+
+def _met(rows: DataFrame, processor: processors.TwoInputs, name: str) -> DataFrame:
+    pairs = processors.with_state(rows, "user_id", processor, f"user_id long, {processor.SCHEMA}")
+    return drained(pairs, name=name).select("user_id", F.col("left_id").alias("click_event_id"), F.col("right_id").alias("purchase_event_id"))
+
+
+def stream_arrival_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the clicks of their user that had arrived before them: clicks are remembered, purchases answered."""
+    return _met(_sides(spark, sf_dir), processors.TwoInputs(), "answers")
+
+
+def stream_recent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and purchases of a user in either order of arrival, of which the earlier is forgotten once the user has shown a time over two days after it."""
+    return _met(_sides(spark, sf_dir), processors.TwoInputs(both=True, keep_s=2 * 24 * 3600), "both")
+
+
+def stream_broadcast_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases above the threshold as of their arrival, the value of the latest signup, which every shard of the purchases keeps."""
+    rows = event_stream(spark, sf_dir).where("event_type IN ('signup', 'purchase')").select("event_id", "event_type", "value")
+    shards = processors.dealt(rows, F.col("event_type") == "signup", "event_id").select("shard", "control", "event_id", "value")
+    return drained(processors.with_state(shards, "shard", processors.Controlled(), processors.Controlled.SCHEMA), name="controlled")
+
+
+QUERIES = {f.__name__: f for f in (stream_tumble_append, stream_tumble_update, stream_top2, stream_interval_join, stream_alarm, stream_late_split, stream_window_join, stream_running_top3, stream_map_count, stream_timer_top2, stream_late_windows, stream_arrival_join, stream_recent_join, stream_broadcast_threshold)}
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 minutes FROM events)"
 _COUNTS = "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _SLID = "(SELECT *, time_bucket(INTERVAL 30 minutes, ts) - INTERVAL (30 * i) minutes AS window_start FROM events, (VALUES (0), (1)) AS s(i))"
@@ -93,6 +131,18 @@ ORACLES = {
     "stream_top2": _TOP2,
     "stream_timer_top2": _TOP2,
     "stream_window_join": keyed.ORACLES["window_join"],
+    "stream_arrival_join": keyed.ORACLES["arrival_join"],
+    "stream_recent_join": "WITH m AS (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events WHERE event_type IN ('click', 'purchase')) "
+    "SELECT a.user_id, a.event_id AS click_event_id, b.event_id AS purchase_event_id FROM m a JOIN m b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' "
+    "AND CASE WHEN a.event_id < b.event_id THEN a.ts >= b.top - INTERVAL 2 days ELSE b.ts >= a.top - INTERVAL 2 days END",
+    "stream_broadcast_threshold": keyed.ORACLES["broadcast_threshold"],
+    "stream_late_windows": f"WITH r AS (SELECT user_id, event_id, ts, CAST(round(value * 100) AS BIGINT) AS cents, time_bucket(INTERVAL 6 hours, ts) AS w, {_DISORDER} AS arrival FROM events), "
+    "m AS (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 hours AS mark, max(ts) OVER (PARTITION BY user_id) - INTERVAL 2 hours AS last FROM r), "
+    "k AS (SELECT *, w + INTERVAL 6 hours <= coalesce(mark, TIMESTAMP '1970-01-01') AS again FROM m WHERE w + INTERVAL 12 hours > coalesce(mark, TIMESTAMP '1970-01-01')), "
+    "s AS (SELECT *, count(*) OVER x AS n, CAST(sum(cents) OVER x AS BIGINT) AS total, list(event_id) OVER x AS ids, count_if(NOT again) OVER (PARTITION BY user_id, w) AS n0 FROM k WINDOW x AS (PARTITION BY user_id, w ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING)) "
+    "SELECT user_id, 'main' AS out_tag, w AS window_start, CASE WHEN again THEN n - n0 + CAST(n0 > 0 AS BIGINT) ELSE 1 END AS firing, n, total, array_to_string(ids, ',') AS elements, CAST(NULL AS BIGINT) AS event_id FROM s "
+    "WHERE again OR (n = n0 AND (w + INTERVAL 6 hours <= last OR w + INTERVAL 12 hours <= (SELECT max(ts) - INTERVAL 10 days FROM events))) "
+    "UNION ALL SELECT user_id, 'late', w, NULL, NULL, NULL, NULL, event_id FROM m WHERE w + INTERVAL 12 hours <= mark",
     "stream_running_top3": keyed.ORACLES["running_top3"],
     "stream_map_count": keyed.ORACLES["running_map_count"],
     "stream_interval_join": "SELECT a.user_id, a.event_id AS click_event_id, b.event_id AS purchase_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts - INTERVAL 1 hour AND a.ts + INTERVAL 1 hour",

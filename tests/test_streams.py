@@ -17,7 +17,7 @@ from sluice.streaming.runs import drained
 from .test_catalog import SF, rows
 
 FILES = 5
-BY_ARRIVAL = {"stream_late_split": "event_id + event_id * 7919 % 3001"}
+BY_ARRIVAL = {"stream_late_split": "event_id + event_id * 7919 % 3001", "stream_late_windows": "event_id + event_id * 7919 % 301"} | dict.fromkeys(("stream_arrival_join", "stream_recent_join", "stream_broadcast_threshold"), "event_id")
 
 
 def folder(spark, home, order):
