@@ -20,7 +20,7 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     Rows meet by key and by a bucket of that many seconds: the left side's own, and for the right side its own and both next to
     it. A key with very many rows is so dealt to as many tasks as it has buckets.
     """
-    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (max(seconds, 1) * 1_000_000))
     near = right.withColumn("__bucket", F.explode(F.array(*[bucket(right_time) + d for d in (-1, 0, 1)])))
     apart = F.abs(F.unix_micros(F.col(left_time).cast("timestamp")) - F.unix_micros(F.col(right_time).cast("timestamp")))
     return left.withColumn("__bucket", bucket(left_time)).join(near, [key, "__bucket"]).where(apart <= seconds * 1_000_000).drop("__bucket")

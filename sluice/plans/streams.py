@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import event_stream
 from ..streaming import processors
-from ..streaming.runs import drained, versions
+from ..streaming.runs import delivered_once, drained, versions
 from . import keyed
 
 
@@ -113,6 +113,13 @@ def stream_recent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _met(_sides(spark, sf_dir), processors.TwoInputs(both=True, keep_s=2 * 24 * 3600), "both")
 
 
+def stream_delivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which every third is delivered twice and every ninth three times, each once."""
+    repeats = F.when(F.col("event_id") % 9 == 0, 3).when(F.col("event_id") % 3 == 0, 2).otherwise(1)
+    sent = event_stream(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(1), repeats)))
+    return drained(delivered_once(sent, "event_id", time="ts", within="1 day").select("event_id", "user_id", "value"), name="once")
+
+
 def stream_broadcast_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases above the threshold as of their arrival, the value of the latest signup, which every shard of the purchases keeps."""
     rows = event_stream(spark, sf_dir).where("event_type IN ('signup', 'purchase')").select("event_id", "event_type", "value")
@@ -120,7 +127,7 @@ def stream_broadcast_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(processors.with_state(shards, "shard", processors.Controlled(), processors.Controlled.SCHEMA), name="controlled")
 
 
-QUERIES = {f.__name__: f for f in (stream_tumble_append, stream_tumble_update, stream_top2, stream_interval_join, stream_alarm, stream_late_split, stream_window_join, stream_running_top3, stream_map_count, stream_timer_top2, stream_late_windows, stream_arrival_join, stream_recent_join, stream_broadcast_threshold)}
+QUERIES = {f.__name__: f for f in (stream_tumble_append, stream_tumble_update, stream_top2, stream_interval_join, stream_alarm, stream_late_split, stream_window_join, stream_running_top3, stream_map_count, stream_timer_top2, stream_late_windows, stream_arrival_join, stream_recent_join, stream_broadcast_threshold, stream_delivered_once)}
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 minutes FROM events)"
 _COUNTS = "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
 _SLID = "(SELECT *, time_bucket(INTERVAL 30 minutes, ts) - INTERVAL (30 * i) minutes AS window_start FROM events, (VALUES (0), (1)) AS s(i))"
@@ -135,6 +142,7 @@ ORACLES = {
     "stream_recent_join": "WITH m AS (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events WHERE event_type IN ('click', 'purchase')) "
     "SELECT a.user_id, a.event_id AS click_event_id, b.event_id AS purchase_event_id FROM m a JOIN m b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' "
     "AND CASE WHEN a.event_id < b.event_id THEN a.ts >= b.top - INTERVAL 2 days ELSE b.ts >= a.top - INTERVAL 2 days END",
+    "stream_delivered_once": "SELECT event_id, user_id, value FROM events",
     "stream_broadcast_threshold": keyed.ORACLES["broadcast_threshold"],
     "stream_late_windows": f"WITH r AS (SELECT user_id, event_id, ts, CAST(round(value * 100) AS BIGINT) AS cents, time_bucket(INTERVAL 6 hours, ts) AS w, {_DISORDER} AS arrival FROM events), "
     "m AS (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 hours AS mark, max(ts) OVER (PARTITION BY user_id) - INTERVAL 2 hours AS last FROM r), "

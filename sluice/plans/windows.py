@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import TRIMMED_MEAN, aggregated
 from ..operators.windows import sum_of, top_n, windowed
 from ..sources.tables import table
 
@@ -52,6 +53,12 @@ def slide_all_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(counts, 2, "n", "event_type")
 
 
+def window_own_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate of one's own per window: the mean of the cents without the least and the greatest."""
+    rows = table(spark, sf_dir, "events").select(F.window("ts", "1 hour").start.alias("window_start"), "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return aggregated(rows, ["window_start", "event_type"], ["cents"], TRIMMED_MEAN)
+
+
 _HOUR = "time_bucket(INTERVAL 1 hour, ts)"
 _SUM = "sum(CAST(value AS DECIMAL(18,2)))"
 _SLID = "(SELECT *, time_bucket(INTERVAL 30 minutes, ts) - INTERVAL (30 * i) minutes AS window_start FROM events, (VALUES (0), (1)) AS s(i))"
@@ -61,7 +68,7 @@ def _top2(key: str) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, {key}) AS rank FROM (SELECT window_start, {key}, count(*) AS n FROM {_SLID} GROUP BY ALL)) WHERE rank <= 2"
 
 
-QUERIES = {f.__name__: f for f in (tumble_event, tumble_wrapped, tumble_reduce, full_window, proc_window, slide_count, slide_top2, slide_all_top2)}
+QUERIES = {f.__name__: f for f in (tumble_event, tumble_wrapped, tumble_reduce, full_window, proc_window, slide_count, slide_top2, slide_all_top2, window_own_aggregate)}
 ORACLES = {
     "tumble_event": f"SELECT {_HOUR} AS window_start, event_type, count(*) AS n, CAST({_SUM} AS DOUBLE) AS total FROM events GROUP BY ALL",
     "tumble_wrapped": f"SELECT {_HOUR} AS window_start, {_HOUR} + INTERVAL 1 hour AS window_end, event_type, CAST({_SUM} AS VARCHAR) AS total, 1 AS n FROM events GROUP BY 1, 2, 3",
@@ -71,4 +78,5 @@ ORACLES = {
     "slide_count": f"SELECT window_start, user_id, count(*) AS n FROM {_SLID} GROUP BY ALL",
     "slide_top2": _top2("user_id"),
     "slide_all_top2": _top2("event_type"),
+    "window_own_aggregate": f"SELECT window_start, event_type, n, CASE WHEN n > 2 THEN CAST(total - low - high AS DOUBLE) / (n - 2) END AS trimmed FROM (SELECT {_HOUR} AS window_start, event_type, count(c) AS n, sum(c) AS total, min(c) AS low, max(c) AS high FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events) GROUP BY 1, 2)",
 }

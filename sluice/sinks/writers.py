@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,38 +26,85 @@ def jdbc_insert(url: str, table: str, batch: int = 100, **options: str) -> Calla
     return write
 
 
+def _connection(spark: SparkSession, url: str, options: dict[str, str]):
+    """A connection of the driver's, without autocommit; Spark has made the database's driver known when it has written once."""
+    jvm = spark._jvm
+    properties = jvm.java.util.Properties()
+    for name, value in options.items():
+        properties.setProperty(name, value)
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+    connection.setAutoCommit(False)
+    return connection
+
+
+@contextmanager
+def _transaction(spark: SparkSession, url: str, options: dict[str, str]):
+    """A function that executes a statement and gives how many rows it changed: all that it did is committed at the end, or nothing of it."""
+    connection = _connection(spark, url, options)
+    try:
+        yield lambda sql: connection.createStatement().executeUpdate(sql)
+        connection.commit()
+    except BaseException:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def _staged(df: DataFrame, url: str, staging: str, options: dict[str, str]) -> None:
+    df.write.format("jdbc").options(url=url, dbtable=staging, **options).mode("overwrite").save()
+
+
+def jdbc_insert_once(url: str, table: str, query: str, ledger: str = "sluice_ledger", **options: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: append the batch's rows once, however often the batch is run.
+
+    Tasks write the rows to a staging table of the query; then one transaction notes (query, batch) in the ledger, whose key that is, and inserts them. A batch found in the ledger is passed over; of two
+    runs at once the database lets one note it, and the other fails. query names the stream: a checkpoint made anew needs a new name. Table and ledger are made if they are missing.
+    """
+    staging = f"{table}_{query}_rows"
+    name = query.replace("'", "''")
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        df.limit(0).write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+        try:
+            with _transaction(spark, url, options) as run:
+                noted = run(f"UPDATE {ledger} SET batch = batch WHERE query = '{name}' AND batch = {int(batch)}")
+        except Exception:
+            with _transaction(spark, url, options) as run:
+                run(f"CREATE TABLE {ledger} (query VARCHAR(200) NOT NULL, batch BIGINT NOT NULL, PRIMARY KEY (query, batch))")
+            noted = 0
+        if noted:
+            return
+        _staged(df, url, staging, options)
+        with _transaction(spark, url, options) as run:
+            run(f"INSERT INTO {ledger} (query, batch) VALUES ('{name}', {int(batch)})")
+            run(f"INSERT INTO {table} SELECT * FROM {staging}")
+            run(f"DROP TABLE {staging}")
+
+    return write
+
+
 def jdbc_apply(url: str, table: str, key: str, columns: list[str], order: str, op: str = "op", ignore: tuple[str, ...] = (), staging: str | None = None, quote: str = '"', **options: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: apply change rows (c, r, u put a row, d takes it away) to a table, the latest change of each key alone, of equal ones the largest.
-    Changes whose op is in ignore, such as "u" where only inserts and deletes are to apply, are left out before that. options (user, password, driver) go to every connection.
+    Changes whose op is in ignore, such as "u" where only inserts and deletes are to apply, and those without an op are left out before that. A null key is a key. options (user, password, driver) go to every connection.
 
-    Tasks write those changes to a staging table; the database then deletes the batch's keys and inserts what remains, in one
+    Tasks write those changes to a staging table, of a name of the writer's own if none is given; the database then deletes the batch's keys and inserts what remains, in one
     transaction, so running a batch again changes nothing, and a failure fails the batch.
     """
-    staging = staging or f"{table}_changes"
+    staging = staging or f"{table}_changes_{uuid.uuid4().hex[:8]}"
     named = lambda c: f"{quote}{c}{quote}"
 
     def write(df: DataFrame, _: int) -> None:
         rest = F.struct(*columns, F.col(op).alias("__op"))
-        some = df.where(~F.coalesce(F.col(op).isin(*ignore), F.lit(False))) if ignore else df
+        some = df.where(F.col(op).isNotNull() & ~F.col(op).isin(*ignore)) if ignore else df.where(F.col(op).isNotNull())
         last = some.groupBy(key).agg(F.max_by(rest, F.struct(order, rest)).alias("last")).select(key, "last.*")
-        last.write.format("jdbc").options(url=url, dbtable=staging, **options).mode("overwrite").save()
-        jvm = df.sparkSession._jvm
-        properties = jvm.java.util.Properties()  # the write above has made the driver known
-        for name, value in options.items():
-            properties.setProperty(name, value)
-        connection = jvm.java.sql.DriverManager.getConnection(url, properties)
-        every = ", ".join(map(named, [key, *columns]))
-        try:
-            connection.setAutoCommit(False)
-            statement = connection.createStatement()
-            statement.executeUpdate(f"DELETE FROM {table} WHERE {named(key)} IN (SELECT {named(key)} FROM {staging})")
-            statement.executeUpdate(f"INSERT INTO {table} ({every}) SELECT {every} FROM {staging} WHERE CAST({named('__op')} AS VARCHAR(8)) <> 'd'")
-            connection.commit()
-        except Exception:
-            connection.rollback()
-            raise
-        finally:
-            connection.close()
+        _staged(last, url, staging, options)
+        every, k = ", ".join(map(named, [key, *columns])), named(key)
+        with _transaction(df.sparkSession, url, options) as run:
+            run(f"DELETE FROM {table} WHERE {k} IN (SELECT {k} FROM {staging}) OR ({k} IS NULL AND EXISTS (SELECT 1 FROM {staging} WHERE {k} IS NULL))")
+            run(f"INSERT INTO {table} ({every}) SELECT {every} FROM {staging} WHERE CAST({named('__op')} AS VARCHAR(8)) <> 'd'")
+            run(f"DROP TABLE {staging}")
 
     return write
 

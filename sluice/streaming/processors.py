@@ -308,6 +308,37 @@ class WindowTop(StatefulProcessor):
         pass
 
 
+class ArrivalWindows(StatefulProcessor):
+    """Windows of arrival: the first row of a key opens one, and a timer in processing time closes it width_ms later. Rows out: key, opened_ms, n, first and last id in order, and elements (ids joined by commas)."""
+
+    SCHEMA = "opened_ms long, n long, first_id long, last_id long, elements string"
+
+    def __init__(self, width_ms: int, key: str = "user_id", id: str = "event_id", order: str = "ts"):
+        self.width_ms, self.key, self.id, self.order = width_ms, key, id, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "id long")
+        self.opened = handle.getValueState("opened", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self.held.appendList([(r[self.id],) for r in sorted(rows, key=_by(self.order, self.id))])
+        if not self.opened.exists():
+            now = timerValues.getCurrentProcessingTimeInMs()
+            self.opened.update((now,))
+            self.handle.registerTimer(now + self.width_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ids = [r[0] for r in self.held.get()]
+        yield Row(**{self.key: key[0], "opened_ms": self.opened.get()[0], "n": len(ids), "first_id": ids[0], "last_id": ids[-1], "elements": ",".join(map(str, ids))})
+        self.held.clear()
+        self.opened.clear()
+
+    def close(self) -> None:
+        pass
+
+
 class Batcher(StatefulProcessor):
     """Batches of size events of a key, or of what there is after wait_ms: rows batch_id and event_ids."""
 

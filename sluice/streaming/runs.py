@@ -26,6 +26,14 @@ def drained(stream: DataFrame, mode: str = "append", name: str = "stream") -> Da
     return spark.read.schema(schema).parquet(out)
 
 
+def delivered_once(stream: DataFrame, *ids: str, time: str, within: str) -> DataFrame:
+    """stream without repeats of ids that come within that time of the first, as a log delivers them that is written at least once. The state holds the ids of that time alone, and outlives restarts.
+
+    Rows that come later than within behind the latest time are dropped, repeats or not.
+    """
+    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(list(ids))
+
+
 def versions(updates: DataFrame, *keys: str) -> DataFrame:
     """The last version of each key of what update mode has written."""
     rest = [c for c in updates.columns if c not in keys]
