@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -61,7 +62,7 @@ def jdbc_insert_once(url: str, table: str, query: str, ledger: str = "sluice_led
     Tasks write the rows to a staging table of the query; then one transaction notes (query, batch) in the ledger, whose key that is, and inserts them. A batch found in the ledger is passed over; of two
     runs at once the database lets one note it, and the other fails. query names the stream: a checkpoint made anew needs a new name. Table and ledger are made if they are missing.
     """
-    staging = f"{table}_{query}_rows"
+    staging = f"{table}_{hashlib.sha256(query.encode()).hexdigest()[:8]}_rows"
     name = query.replace("'", "''")
 
     def write(df: DataFrame, batch: int) -> None:

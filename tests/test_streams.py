@@ -1,5 +1,6 @@
 """Streams over several micro-batches: the events in a folder of files, one file a batch."""
 
+import datetime
 import os
 import socket
 import threading
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from sluice import catalog
 from sluice.sources import tables
 from sluice.streaming import processors
-from sluice.streaming.runs import drained
+from sluice.streaming.runs import delivered_once, drained
 
 from .test_catalog import SF, rows
 
@@ -126,3 +127,94 @@ def test_lines_of_a_socket(spark, tmp_path):
     got = rows_of(spark, started(tables.socket_stream(spark, "127.0.0.1", server.getsockname()[1]), "socket_lines", tmp_path), 2)
     server.close()
     assert got[:2] == ["one", "two"]
+
+
+def in_turn(spark, home, name, batches, schema):
+    """A stream of rows whose batches are given, one a file, and a function that writes them."""
+    path = home / name
+    path.mkdir()
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(home / f"{name}-{i}"))
+        (path / f"{i}.parquet").write_bytes(next((home / f"{name}-{i}").glob("*.parquet")).read_bytes())
+        os.utime(path / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_late_windows_by_hand(spark, tmp_path):
+    """Windows of 10 s, 3 s of disorder, 2 s of lateness, and rows without a time or a value."""
+    schema = "k string, id long, arrival long, s long, value long"
+    batches = [
+        [("a", 0, 0, 1, 1), ("a", 1, 1, 12, 1), ("a", 2, 2, 5, None), ("a", 3, 3, None, 9)],
+        [("a", 4, 4, 13, 1), ("a", 5, 5, 6, 2), ("a", 6, 6, 14, 1), ("a", 7, 7, 9, 3)],
+        [("a", 8, 8, 15, 1), ("a", 9, 9, 9, 5), ("b", 10, 10, 3, 1)],
+        [("c", 11, 11, 200, 1)],
+        [("c", 12, 12, 201, 1)],
+    ]
+    rows = in_turn(spark, tmp_path, "late", batches, schema)
+    timed = rows.withColumn("ts", F.timestamp_seconds("s")).withWatermark("ts", "100 seconds").select("k", "id", "arrival", (F.col("s") * 1_000_000).alias("us"), "value", "ts")
+    made = processors.LateWindows(10, 3, 2, key="k", id="id")
+    out = drained(processors.with_state(timed, "k", made, f"k string, {made.SCHEMA}, id long", "EventTime"), name="late")
+    got = sorted((r.k, r.out_tag, None if r.window_us is None else r.window_us // 1_000_000, r.firing, r.n, r.total, r.elements, r.id) for r in out.collect() if r.out_tag == "main")
+    assert got == [
+        ("a", "main", 0, 1, 2, 1, "0,2", None),  # 13 brings the watermark to 10
+        ("a", "main", 0, 2, 3, 3, "0,2,5", None),
+        ("a", "main", 0, 3, 4, 6, "0,2,5,7", None),
+        ("a", "main", 10, 1, 4, 4, "1,4,6,8", None),  # by the stream's watermark, as the key fell silent
+        ("b", "main", 0, 1, 1, 1, "10", None),
+    ]
+    assert sorted(r.id for r in out.collect() if r.out_tag == "late") == [3, 9]  # no time; 15 brings the watermark to 12
+
+
+def test_nulls_in_processors(spark, tmp_path):
+    schema = "user_id long, event_id long, ts long, value double"
+    batches = [[(1, 0, 0, None), (1, 1, 1, 50.0)], [(1, 2, 2, 90.0), (1, 3, None, 1.0), (None, 4, 4, 70.0)]]
+    rows = in_turn(spark, tmp_path, "nulls", batches, schema)
+    out = drained(processors.with_state(rows, "user_id", processors.ChangeAlarm(10.0), "user_id long, event_id long, value double, previous double"), name="alarm")
+    # 3 has no time and comes first in its batch; 1 stands after a null.
+    assert sorted((r.event_id, r.previous) for r in out.collect()) == [(2, 1.0), (3, 50.0), (4, 0.0)]
+    split = in_turn(spark, tmp_path, "split", [[(1, 0, 10, 5), (1, 1, 11, None)], [(1, 2, 12, 4), (1, 3, 13, 1)]], "user_id long, event_id long, arrival long, us long").withColumn("us", F.col("us") * 1_000_000)
+    late = drained(processors.with_state(split, "user_id", processors.LateSplit(2), "user_id long, event_id long, out_tag string"), name="late")
+    assert sorted((r.event_id, r.out_tag) for r in late.collect()) == [(0, "main"), (1, "main"), (2, "main"), (3, "late")]
+
+
+def test_two_inputs_and_control_by_hand(spark, tmp_path):
+    schema = "user_id long, event_id long, us long, side string, arrival long"
+    s = 1_000_000
+    batches = [[(1, 0, 0, "left", 0), (1, 1, 1 * s, "right", 1), (2, 2, None, "left", 2)], [(1, 3, 100 * s, "left", 3), (1, 4, 101 * s, "right", 4), (2, 5, 900 * s, "right", 5)], [(1, 6, 5 * s, "right", 6)]]
+    sides = in_turn(spark, tmp_path, "sides", batches, schema)
+    pairs = lambda made: sorted((r.left_id, r.right_id) for r in drained(processors.with_state(sides, "user_id", made, f"user_id long, {made.SCHEMA}"), name="two").collect())
+    assert pairs(processors.TwoInputs()) == [(0, 1), (0, 4), (0, 6), (2, 5), (3, 4), (3, 6)]
+    assert pairs(processors.TwoInputs(both=True)) == [(0, 1), (0, 4), (0, 6), (2, 5), (3, 1), (3, 4), (3, 6)]
+    assert pairs(processors.TwoInputs(both=True, keep_s=50)) == [(0, 1), (2, 5), (3, 1), (3, 4), (3, 6)]
+    rows = in_turn(spark, tmp_path, "control", [[(0, False, 1.0), (1, True, 5.0), (2, False, 4.0)], [(3, False, 6.0), (4, True, None), (5, False, None), (6, True, 9.0)], [(7, False, 8.0), (8, False, 10.0)]], "event_id long, control boolean, value double")
+    shards = processors.dealt(rows, F.col("control"), "event_id", 3).select("shard", "control", "event_id", "value")
+    got = drained(processors.with_state(shards, "shard", processors.Controlled(), processors.Controlled.SCHEMA), name="controlled")
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1.0, 0.0), (3, 6.0, 5.0), (8, 10.0, 9.0)]
+
+
+def test_windows_of_arrival(spark, tmp_path):
+    rows = in_turn(spark, tmp_path, "arrivals", [[(1, 5, 1), (1, 4, 2), (2, 9, 1)], [(1, 6, 3)]], "user_id long, event_id long, ts long")
+    made = processors.ArrivalWindows(3_000)
+    with processors.rocksdb(spark):
+        query = processors.with_state(rows, "user_id", made, f"user_id long, {made.SCHEMA}", "ProcessingTime").writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="200 milliseconds").start()
+    end = time.time() + 90
+    while time.time() < end and sum(r.n for r in spark.table("arrived").collect()) < 4:
+        time.sleep(0.3)
+    query.stop()
+    got = sorted((r.user_id, r.elements, r.n, r.first_id, r.last_id) for r in spark.table("arrived").collect())
+    assert got in ([(1, "5,4,6", 3, 5, 6), (2, "9", 1, 9, 9)], [(1, "5,4", 2, 5, 4), (1, "6", 1, 6, 6), (2, "9", 1, 9, 9)])
+
+
+def test_repeats_are_dropped_over_restarts(spark, tmp_path):
+    schema = "id long, ts timestamp"
+    at = lambda i, s: (i, datetime.datetime.fromtimestamp(1_700_000_000 + s, datetime.UTC))
+    rows = in_turn(spark, tmp_path, "repeats", [[at(1, 0), at(1, 0), at(2, 5)], [at(2, 5), at(3, 20)], [at(1, 0), at(3, 20), at(4, 30)]], schema)
+    got = []
+    for _ in range(2):  # the second run has nothing left to read
+        query = delivered_once(rows, "id", time="ts", within="1 hour").writeStream.foreachBatch(lambda df, _: got.extend(r.id for r in df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    in_turn(spark, tmp_path, "again", [[at(4, 30), at(5, 31)]], schema)
+    (tmp_path / "repeats" / "3.parquet").write_bytes((tmp_path / "again" / "0.parquet").read_bytes())
+    query = delivered_once(rows, "id", time="ts", within="1 hour").writeStream.foreachBatch(lambda df, _: got.extend(r.id for r in df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(got) == [1, 2, 3, 4, 5]
