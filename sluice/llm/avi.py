@@ -215,6 +215,8 @@ def histograms(samples: np.ndarray, bins: int = 16) -> np.ndarray:
 def shots(hist: np.ndarray, fps: float, window: int = 12, factor: float = 3.0, least: float = 0.2) -> list[tuple[float, float, int, int]]:
     """Clips (start s, end s, first frame, frames) by the frames' histograms: a cut stands where one differs from that before by more
     than factor times the mean difference of the window of frames before it, and by least of the samples."""
+    if hist.ndim != 2:
+        raise ValueError("shots() takes a histogram for each frame: two dimensions")
     n = len(hist)
     diff = np.abs(np.diff(hist, axis=0)).sum(1) / 2
     sums = np.concatenate([[0.0], np.cumsum(diff)])

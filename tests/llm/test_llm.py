@@ -226,10 +226,23 @@ def test_avi_round_trip_and_shots(spark, edges):
         fps, frames = avi.read_avi(avi.write_avi(avi.encode_frames(payload)))
         assert avi.decode_frames(frames).tobytes() == payload and fps == 25
     still = np.concatenate([np.full((20, 24, 24), 10, np.uint8), np.full((20, 24, 24), 200, np.uint8)])
-    assert [s[2:] for s in avi.shots(still, 25)] == [(0, 20), (20, 20)]
+    assert [s[2:] for s in avi.shots(avi.histograms(still), 25)] == [(0, 20), (20, 20)]
+    with pytest.raises(ValueError, match="histogram"):
+        avi.shots(still, 25)
     assert avi.clips(avi.to_media(edges, "doc_id"), "doc_id").count() >= edges.count()
 
 
+def test_shots_by_hand():
+    """Cuts where a scene's grey level jumps, none in a slow fade; times by the frames' number."""
+    rng = np.random.default_rng(6)
+    scenes = [(12, 30), (9, 120), (25, 220)]
+    frames = np.concatenate([np.clip(rng.normal(level, 2, (n, 24, 24)), 0, 255).astype(np.uint8) for n, level in scenes])
+    assert avi.shots(avi.histograms(frames), 10) == [(0.0, 1.2, 0, 12), (1.2, 2.1, 12, 9), (2.1, 4.6, 21, 25)]
+    fade = np.stack([np.full((24, 24), 3 * k, np.uint8) for k in range(60)])
+    noisy = np.clip(fade.astype(int) + rng.integers(-24, 25, fade.shape), 0, 255).astype(np.uint8)
+    assert [s[2:] for s in avi.shots(avi.histograms(noisy), 10)] == [(0, 60)]
+
+
 def test_quality_on_held_out_labels(spark):
     out = quality.op8_quality_classifier(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
