@@ -194,6 +194,40 @@ def test_passages_behind_an_earlier_quote(spark):
     assert all(kept[i] == texts[i] for i in texts if i not in pairs and i != 11001)
 
 
+def test_passages_that_runs_with_other_texts_cover(spark):
+    """Two texts share 60 words of which earlier ones quote 40, and what lies in either, left and right, repeats in later texts of their own."""
+    rng = random.Random(16)
+    rows, pairs = [], {}
+    for i in range(10):
+        shared = prose(rng, 60).split()
+        rows += [(100 * i + k, " ".join([prose(rng, 40), *q, prose(rng, 40)]), "a") for k, q in enumerate((shared[10:50], shared[:40], shared[20:]))]
+        for k in (50, 51):
+            left, right = prose(rng, 40).split(), prose(rng, 40).split()
+            rows.append((100 * i + k, " ".join([*left, *shared, *right]), "a"))
+            rows += [(100 * i + k + 10, " ".join([prose(rng, 30), *left, *shared[:35], prose(rng, 30)]), "a"), (100 * i + k + 20, " ".join([prose(rng, 30), *shared[25:], *right, prose(rng, 30)]), "a")]
+        pairs[100 * i + 51] = " ".join(shared)
+    kept = {r.doc_id: r.text for r in passages.drop_repeats(made(spark, rows)).collect()}
+    assert not [i for i, s in pairs.items() if s in kept[i]]
+    texts = {i: t for i, t, _ in rows}
+    assert all(kept[i] == texts[i] for i in texts if i % 100 < 51)
+
+
+def test_passages_of_which_many_quote_either_half(spark):
+    """60 words, one of them replaced in the second text, and each half quoted by 80 earlier texts, which have under 50 words in common with any."""
+    rng = random.Random(17)
+    rows, pairs = [], {}
+    for i in range(10):
+        shared = prose(rng, 60).split()
+        rows += [(1000 * i + k, " ".join([prose(rng, 30), *(shared[:30] if k % 2 else shared[30:]), prose(rng, 30)]), "a") for k in range(160)]
+        changed = [*shared[:30], "changed", *shared[31:]]
+        rows += [(1000 * i + 500 + k, " ".join([prose(rng, 30), *w, prose(rng, 30)]), "a") for k, w in enumerate((shared, changed))]
+        pairs[1000 * i + 501] = "changed"
+    kept = {r.doc_id: r.text for r in passages.drop_repeats(made(spark, rows)).collect()}
+    assert not [i for i, s in pairs.items() if s in kept[i].split()]
+    texts = {i: t for i, t, _ in rows}
+    assert all(kept[i] == texts[i] for i in texts if i not in pairs)
+
+
 def test_trie_counts_equal_brute_force():
     rng = random.Random(2)
     scores = trie_counts.zipf_scores([bytes([b]) for b in b"abc"] + [bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 5))) for _ in range(30)])
