@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +24,14 @@ from .common import Recent, settled, table, written
 
 #: A piece of a text that both tokenizers end at for certain goes up to a single space between other characters.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A space beside another white space or at an end: without one, every space is such a place.
+_ODD = re.compile(r"\A | \Z|\s | \s")
 #: Pieces that stay known in a task.
 CACHE = 200_000
 #: A pair of ids is frequent if it has over one part in so many of all rows, so there are fewer frequent pairs than that: they are broadcast.
 MOST_PAIRS = 100_000
+#: Characters below this are of the same kind for every version of Unicode.
+LATIN = "\u0250"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -47,20 +54,6 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def merged(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """How many tokens of either side have ended at each offset where one of both ends: two pointers over the cumulative ends."""
-    i, j, out = 0, 0, []
-    while i < len(ends_a) and j < len(ends_b):
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            out.append((i, j))
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
 class Aligner:
     """Both tokenizers with the bytes of their entries."""
 
@@ -79,47 +72,82 @@ class Aligner:
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
         #: Where no entry goes on over a space after another character, what stands before such a space does not bear on what comes after.
         self.parted = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.known = Recent(lambda piece: self.learn([piece])[0], CACHE)
+        self.a_matches, self.pattern = Recent(self.a_match, CACHE), regex.compile(public_tokenizers.PATTERN).findall
+        self.a_chars = {b: c for c, b in values.items()}
+        own = json.loads(self.a.to_str())
+        self.a_plain = own["normalizer"] is None and own["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.a_said, self.b_said = ([(len(raw), str(i)) for i, raw in enumerate(side)] for side in (self.a_bytes, self.b_bytes))
+
+    def a_ids(self, pieces: list[str]) -> list[list[int]]:
+        """A's tokens of each piece with the space before it: of Latin characters by the vocabulary's pattern and, match by match, its model, of others by the whole tokenizer."""
+        out: list = [None] * len(pieces)
+        others = []
+        for k, p in enumerate(pieces):
+            if self.a_plain and max(p, default="") < LATIN:
+                out[k] = [i for m in self.pattern(f" {p}") for i in self.a_matches[m]]
+            else:
+                others.append(k)
+        for k, x in zip(others, self.a.encode_batch_fast([f" {pieces[k]}" for k in others], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
+
+    def a_match(self, match: str) -> list[int]:
+        return [t.id for t in self.a.model.tokenize(match.encode().decode("latin-1").translate(self.a_chars))]
 
     def learn(self, pieces: list[str]) -> list[Aligned]:
         """Pieces without the space before them; OTHER where the bytes of either side are others than space and text."""
-        encoded = self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)
-        return [self.pair(p, x.ids, y) for p, x, y in zip(pieces, encoded, self.b.encode(pieces, num_threads=1), strict=True)]
+        return list(map(self.pair, pieces, self.a_ids(pieces), self.b.encode(pieces, num_threads=1)))
 
     def pair(self, piece: str, a: list[int], b: list[int]) -> Aligned:
-        raw_a, raw_b = (b"".join(map(side.__getitem__, ids)) for side, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-        if not raw_a == raw_b == f" {piece}".encode():
+        """Two pointers over the tokens: the side whose tokens end earlier so far goes on, and where both ends meet a group is full."""
+        raw = f" {piece}".encode()
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return OTHER
-        groups, links, width, i, j = [], [], len(self.b_bytes), 0, 0
-        for k, m in merged(list(accumulate(map(self.a_sizes.__getitem__, a))), list(accumulate(map(self.b_sizes.__getitem__, b)))):
-            groups.append(f"{a[i] if k == i + 1 else ','.join(map(str, a[i:k]))}|{b[j] if m == j + 1 else ','.join(map(str, b[j:m]))}")
-            links.append(a[k - 1] * width + b[m - 1])
-            i, j = k, m
+        a_said, b_said, width = self.a_said, self.b_said, len(self.b_bytes)
+        groups, links, of_a, of_b, i, j, a_end, b_end = [], [], [], [], 0, 0, 0, 0
+        while i < len(a) or j < len(b):
+            if a_end <= b_end:
+                size, said = a_said[a[i]]
+                i, a_end = i + 1, a_end + size
+                of_a.append(said)
+            else:
+                size, said = b_said[b[j]]
+                j, b_end = j + 1, b_end + size
+                of_b.append(said)
+            if a_end == b_end:
+                groups.append(f"{','.join(of_a)}|{','.join(of_b)}")
+                links.append(a[i - 1] * width + b[j - 1])
+                of_a, of_b = [], []
         return Aligned(len(a), len(b), ";".join(groups), tuple(links))
 
     def texts(self, texts: list[str | None]) -> list[list[Aligned] | None]:
         """The pieces of whole texts; None for those that are null or empty or have other bytes in either tokenizer. Pieces that are not known are encoded together."""
-        parts = [[] if not t or not _plain(t) else _CUT.split(t) if self.parted else [t] for t in texts]
-        known, found, missing = self.known, {}, []
-        for p in set(chain.from_iterable(parts)):
-            if p not in known:
-                if (v := known.older.get(p)) is not None:
-                    found[p] = v
-                else:
-                    missing.append(p)
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
+        parts = [self.pieces(t) if t and _plain(t) else [] for t in texts]
+        known, found, missing, wanted = self.known, {}, [], set()
+        rows = [list(map(known.get, pieces)) for pieces in parts]
+        gaps = [None in own for own in rows]
+        for pieces, own, gap in zip(parts, rows, gaps, strict=True):
+            if gap:
+                wanted.update([p for p, v in zip(pieces, own, strict=True) if v is None])
+        for p in wanted:
+            if (v := known.older.get(p)) is not None:
+                found[p] = v
+            else:
+                missing.append(p)
+        for at in range(0, len(missing), 1024):
+            some = missing[at : at + 1024]
             found.update(zip(some, self.learn(some), strict=True))
-        out = []
-        for t, pieces in zip(texts, parts, strict=True):
-            own = list(map(known.get, pieces))
-            if None in own:
-                own = [found[p] if v is None else v for p, v in zip(pieces, own, strict=True)]
-            out.append(None if not own or OTHER in own else own)
+        for k, gap in enumerate(gaps):
+            if gap:
+                rows[k] = [found[p] if v is None else v for p, v in zip(parts[k], rows[k], strict=True)]
         for p, v in found.items():
             known.put(p, v)
-        return out
+        return [None if not own or OTHER in own else own for own in rows]
+
+    def pieces(self, text: str) -> list[str]:
+        """A text cut at each single space between other characters, if both tokenizers end there."""
+        return [text] if not self.parted else _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
 def _plain(text: str) -> bool:
@@ -146,12 +174,14 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = aligner(a_path, b_path)
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                yield part[list(keep)].assign(**dict(zip(schema.names[len(keep) :], zip(*map(row, both.texts(part["text"].tolist())), strict=True), strict=True)))
-        both.known.clear()
-        both.known.older = {}
+        gc.disable()  # very many small objects are kept, none in cycles
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), 200):
+                    part = batch.iloc[at : at + 200]
+                    yield part[list(keep)].assign(**dict(zip(schema.names[len(keep) :], zip(*map(row, both.texts(part["text"].tolist())), strict=True), strict=True)))
+        finally:
+            gc.enable()
 
     def row(found: list[Aligned] | None) -> tuple:
         if found is None:
