@@ -38,16 +38,30 @@ def expiring_last(df: DataFrame, key: str, value: str, time: str, order: tuple[s
     return df.withColumn("previous", F.when(age <= ttl_seconds, F.lag(value).over(w)))
 
 
-#: Buckets at most, so rows at most of the one window that orders them.
-MOST_BUCKETS = 1 << 16
+#: Buckets at most, so rows at most of the one window that orders them, and quantiles that are looked for.
+MOST_BUCKETS = 4096
 
 
 def bucketed(df: DataFrame, order: str, rows_each: int = 4096) -> DataFrame:
-    """df with __bucket: equal stretches of order (a whole number), about rows_each rows each if it is even and MOST_BUCKETS of them at most; null where order is."""
-    low, high, n = df.agg(F.min(order).cast("decimal(38,0)"), F.max(order).cast("decimal(38,0)"), F.count(order)).first()
+    """df with __bucket: stretches of order (numbers) of about rows_each rows each and MOST_BUCKETS of them at most, in order; null where order is.
+
+    Bounds are quantiles, found by one pass over order alone, so outliers and gaps do not fill a bucket; rows equal in order share one. Order is compared as a double, which keeps it.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    value = F.col(order).cast("double")
+    n = df.agg(F.count(order)).first()[0]
     count = min(MOST_BUCKETS, max(1, -(-n // rows_each)))
-    width = max(1, -(-(int(high) - int(low) + 1) // count)) if n else 1
-    return df.withColumn("__bucket", F.expr(f"(CAST(`{order}` AS DECIMAL(38,0)) - ({int(low or 0)}BD)) div {width}BD"))
+    cuts = []
+    if count > 1:
+        found = df.select(value.alias("__order")).stat.approxQuantile("__order", [k / count for k in range(1, count)], 1 / (4 * count))
+        cuts = sorted(set(found))
+    bucket = F.lit(0.0)
+    rows = df.withColumn("__order", value)
+    if cuts:
+        rows = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__order", outputCol="__bucket", handleInvalid="keep").transform(rows)
+        bucket = F.col("__bucket")
+    return rows.withColumn("__bucket", F.when(F.col(order).isNotNull(), bucket).cast("int")).drop("__order")
 
 
 def numbered_rows(df: DataFrame, order: str, rows_each: int = 4096) -> DataFrame:

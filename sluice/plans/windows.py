@@ -34,6 +34,12 @@ def full_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("event_type",), n=F.count("*"), first_event=first, last_event=last)
 
 
+def full_window_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with all their elements, as a function that sees a whole window has them: ids in order of time."""
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"].cast("string")), ",")
+    return windowed(table(spark, sf_dir, "events"), "ts", "1 hour", keys=("event_type",), n=F.count("*"), elements=ids)
+
+
 def proc_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of arrival: each event arrives up to ten minutes after its time."""
     arrived = table(spark, sf_dir, "events").withColumn("arrived", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, event_id * 7919 % 600)"))
@@ -68,12 +74,13 @@ def _top2(key: str) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, {key}) AS rank FROM (SELECT window_start, {key}, count(*) AS n FROM {_SLID} GROUP BY ALL)) WHERE rank <= 2"
 
 
-QUERIES = {f.__name__: f for f in (tumble_event, tumble_wrapped, tumble_reduce, full_window, proc_window, slide_count, slide_top2, slide_all_top2, window_own_aggregate)}
+QUERIES = {f.__name__: f for f in (tumble_event, tumble_wrapped, tumble_reduce, full_window, proc_window, slide_count, slide_top2, slide_all_top2, window_own_aggregate, full_window_elements)}
 ORACLES = {
     "tumble_event": f"SELECT {_HOUR} AS window_start, event_type, count(*) AS n, CAST({_SUM} AS DOUBLE) AS total FROM events GROUP BY ALL",
     "tumble_wrapped": f"SELECT {_HOUR} AS window_start, {_HOUR} + INTERVAL 1 hour AS window_end, event_type, CAST({_SUM} AS VARCHAR) AS total, 1 AS n FROM events GROUP BY 1, 2, 3",
     "tumble_reduce": f"SELECT {_HOUR} AS window_start, user_id, CAST({_SUM} AS DOUBLE) AS total FROM events GROUP BY ALL",
     "full_window": f"SELECT {_HOUR} AS window_start, {_HOUR} + INTERVAL 1 hour AS window_end, event_type, count(*) AS n, first(event_id ORDER BY ts, event_id) AS first_event, last(event_id ORDER BY ts, event_id) AS last_event FROM events GROUP BY 1, 2, 3",
+    "full_window_elements": f"SELECT {_HOUR} AS window_start, {_HOUR} + INTERVAL 1 hour AS window_end, event_type, count(*) AS n, string_agg(event_id, ',' ORDER BY ts, event_id) AS elements FROM events GROUP BY 1, 2, 3",
     "proc_window": f"SELECT time_bucket(INTERVAL 10 minutes, ts + to_seconds(event_id * 7919 % 600)) AS window_start, count(*) AS n, CAST({_SUM} AS DOUBLE) AS total FROM events GROUP BY ALL",
     "slide_count": f"SELECT window_start, user_id, count(*) AS n FROM {_SLID} GROUP BY ALL",
     "slide_top2": _top2("user_id"),

@@ -1,6 +1,7 @@
 """Literal cases of the operators, and their edges."""
 
 import random
+import re
 import time
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import parse
 from sluice.operators import aggregates, cdc, joins, routing, running, windows
-from sluice.sinks import writers
+from sluice.sinks import rolling, writers
 from sluice.sources import tables
 from sluice.streaming import processors
 from sluice.streaming.runs import with_restarts
@@ -79,6 +80,15 @@ def test_buckets_of_sparse_and_missing_orders(spark):
     assert {r.latest for r in joins.latest_before(tied, "seq", "config", 0.0).collect()} == {7.0}
 
 
+def test_buckets_of_outliers_and_gaps(spark):
+    """One order far off, and a gap, leave buckets of about the same size."""
+    orders = spark.range(100_000).select(F.when(F.col("id") == 7, 2**60).when(F.col("id") > 60_000, F.col("id") + 10**12).otherwise(F.col("id")).alias("o"))
+    sizes = [r["count"] for r in running.bucketed(orders, "o", 1000).groupBy("__bucket").count().collect()]
+    assert len(sizes) >= 80 and max(sizes) < 3000 and sum(sizes) == 100_000
+    low = running.bucketed(orders, "o", 1000).groupBy("__bucket").agg(F.min("o").alias("low"), F.max("o").alias("high")).orderBy("__bucket").collect()
+    assert all(a.high < b.low for a, b in zip(low, low[1:], strict=False))
+
+
 def test_totals_keep_their_places(spark):
     df = spark.createDataFrame([(1, i, 0.004) for i in range(10)] + [(1, 10, None)], "k long, i long, v double")
     last = df.select("i", running.running_total(F.col("v"), "k", order=("i",)).alias("t"), running.running_mean(F.col("v"), "k", order=("i",)).alias("m"), running.running_total(F.col("v"), "k", order=("i",), kind="decimal(18,3)").alias("d"))
@@ -228,6 +238,50 @@ def test_text_files(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).select("value").collect()) == ["p", "q"]
 
 
+def lines_of(path):
+    return sorted(x for f in path.rglob("*.log") for x in f.read_text().splitlines())
+
+
+def test_rolling_files(spark, tmp_path):
+    """Size, names and hours; a task that fails leaves nothing to see, and the batch that is run again each line once."""
+    (tmp_path / "in").mkdir()
+    lines = [f"line {i:05d} " + "x" * 50 for i in range(400)]
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines) + "\n")
+    out = tmp_path / "out"
+    stream = tables.line_stream(spark, str(tmp_path / "in"), 1)
+    query = rolling.rolling_files(stream, str(out), str(tmp_path / "c"), prefix="own", most_bytes=5000, every="200 milliseconds")
+    end = time.time() + 60
+    while time.time() < end and not list(out.glob("*/own-*.log")):
+        time.sleep(0.2)
+    query.stop()
+    files = sorted(out.rglob("*.log"))
+    assert lines_of(out) == lines and len(files) >= 5 and all(f.stat().st_size < 5100 and re.fullmatch(r"own-00000000-\d{5}\.log", f.name) and re.fullmatch(r"\d{4}(-\d\d){2}--\d\d", f.parent.name) for f in files)
+    (tmp_path / "in" / "b.txt").write_text("good\nbad\n")
+    broken = stream.select(F.when(F.col("value") == "bad", F.raise_error(F.lit("no"))).otherwise(F.col("value")).alias("value"))
+    query = rolling.rolling_files(broken, str(out), str(tmp_path / "c"), prefix="own", every="200 milliseconds")
+    with pytest.raises(Exception, match="no"):
+        query.awaitTermination(60)
+    assert lines_of(out) == lines
+    query = rolling.rolling_files(stream, str(out), str(tmp_path / "c"), prefix="own", every="200 milliseconds")
+    end = time.time() + 60
+    while time.time() < end and not list(out.rglob("own-00000001-*")):
+        time.sleep(0.2)
+    query.stop()
+    assert lines_of(out) == sorted([*lines, "good", "bad"]) and not [f for f in (out / ".pending").rglob("*") if f.is_file()]
+
+
+def test_a_batch_of_files_that_is_committed_again_replaces_itself(tmp_path):
+    writer = lambda: rolling.RollingWriter({"path": str(tmp_path / "o"), "bytes": "10", "hourly": "false"})
+    one = writer()
+    one.commit([one.write(iter([("a" * 12,), ("b",)])), None], 3)
+    assert lines_of(tmp_path) == ["a" * 12, "b"] and len(list((tmp_path / "o").glob("part-00000003-*"))) == 2
+    again, lost = writer(), writer()
+    lost.write(iter([("never",)]))
+    again.commit([again.write(iter([("a" * 12,), (None,)]))], 3)
+    lost.abort([], 4)
+    assert lines_of(tmp_path) == ["", "a" * 12] and not list((tmp_path / "o" / ".pending").iterdir())
+
+
 def test_shuffles_keep_rows(spark):
     assert routing.shuffled(spark.range(50), 4, seed=3).count() == 50 and routing.shuffled(spark.range(50), 4).rdd.getNumPartitions() == 4
     out = tables.generated_sensors(spark, 500, 1)
