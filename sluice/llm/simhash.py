@@ -21,6 +21,8 @@ SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 BLOCK = 255 * 128
 #: Rows of a bucket up to which every pair of it is checked.
 BUCKET = 16
+#: One in so many shingles is looked at for rare ones.
+SAMPLE = 4
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -307,12 +309,44 @@ def labels_of(links: DataFrame) -> DataFrame:
     return one.join(one.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label"))
 
 
+def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """pairs (a, b) whose rows of named (id, label) differ in label."""
+    of = lambda side: named.select(F.col("id").alias(side), F.col("label").alias(f"{side}label"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("alabel != blabel").select("a", "b")
+
+
+def rare_pairs(texts: DataFrame, width: int, bucket: int, sample: int = SAMPLE) -> DataFrame:
+    """Pairs (a, b), a < b, of texts (id, text) that share a word shingle which bucket of them at most have, among one in sample of all shingles, told by their hashes.
+
+    Texts that have a form in common share its shingles with very many, and what is their own with their copies alone.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            ids, keys = [], []
+            for i, text in zip(batch["id"], batch["text"], strict=True):
+                grams = set(shingles(words_of_text(text), width))
+                hashes = np.fromiter((digest(g, 7) for g in grams), np.uint64, len(grams))
+                hashes = hashes[hashes % np.uint64(sample) == 0]
+                ids.append(np.full(len(hashes), i, np.int64))
+                keys.append(hashes.view(np.int64))
+            if ids:
+                yield pd.DataFrame({"id": np.concatenate(ids), "key": np.concatenate(keys)})
+
+    keys = written(texts.select("id", "text").mapInPandas(run, "id long, key long"), "rare")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("key")
+    some = written(keys.join(shared, "key", "left_semi"), "shared")
+    return some.select("key", F.col("id").alias("a")).join(some.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+
+
 def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int, texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, turns: int = 2) -> DataFrame:
     """Links (a, b) between ids of nodes (id, f0, ...) that share a key of parts, differ in most bits or fewer of all longs and whose texts (id, text) are alike().
 
     Crowded buckets, those of over bucket rows, come first. In the first turn their rows are checked against a pivot, the one that shares most crowded
     buckets, which is the text the others are copies of, if there is one. In each further turn the pivot is such a row among those that no
-    pivot of the bucket has the label of, and it is checked against the rows of other labels, until a turn adds no link. Then every pair of different labels in the other buckets is checked. So a row meets at most
+    pivot of the bucket has the label of, and it is checked against the rows of other labels, until a turn adds no link. Then the rows of crowded buckets are checked that share a rare
+    shingle (see rare_pairs()): copies in small groups among texts of one form, which fill their buckets. Last, every pair of different labels in the other buckets is checked. So a row meets at most
     bucket others of a key and as many pivots as there are turns, and pairs grow in proportion to the rows, however large a group of near copies is.
     """
     first = ["f0", "f1"][:longs]
@@ -360,6 +394,9 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
             tried, links = (close, new) if tried is None else (tried.union(close), links.union(new))
             if new.isEmpty():
                 break
+        own = rare_pairs(texts.join(busy.select("id").distinct(), "id", "left_semi"), width, bucket)
+        close, new = checked(_apart(own, labelled(nodes, links)), tried)
+        tried, links = tried.union(close), links.union(new)
     named = labelled(nodes, links)
     calm = signatures(named, parts, True, "id", "label", *first).join(crowded.select("key"), "key", "left_anti")
     pairs = side(calm, "a").join(side(calm.where("own"), "b"), "key").where((F.col("a") < F.col("b")) & (F.col("alabel") != F.col("blabel")) & (differing(first) <= coarse))

@@ -161,6 +161,23 @@ def test_group_of_near_copies_is_linked_by_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 40 * len(found)
 
 
+@pytest.mark.parametrize("n", [600, 1200])
+def test_copies_among_texts_of_one_form_are_found(spark, n):
+    """All texts share 200 words (0.7 to each other), and each has one copy at 0.85: found however many there are."""
+    rng = random.Random(9)
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    form, found = words(200), []
+    for i in range(n // 2):
+        one = form + words(43)
+        two = list(one)
+        for at in rng.sample(range(0, 243, 5), 4):
+            two[at] = f"x{rng.randrange(10**6)}"
+        found += [(2 * i, " ".join(one), "a"), (2 * i + 1, " ".join(two), "a")]
+    kept = {r.doc_id for r in simhash.drop_near_copies(made(spark, found)).collect()}
+    assert all(2 * i in kept for i in range(n // 2))
+    assert sum(2 * i + 1 not in kept for i in range(n // 2)) >= 0.99 * (n // 2)
+
+
 def test_rows_that_share_an_id_are_told_apart(spark):
     rng = random.Random(5)
     text, other, third = (same_words(rng, 80) for _ in range(3))
