@@ -23,7 +23,8 @@ SHARD_BYTES = 1 << 28
 #: Queries whose id more rows than this have are set against every vector, as a beam would have to pass all of those rows.
 MOST_NAMESAKES = 512
 QUERY_BLOCK = 512  # searched together
-PART_QUERIES = 1 << 16  # of a group at most, about as large as a graph
+#: Queries of a group at most, and no more bytes of them than a shard has: about as large as a graph.
+PART_QUERIES = 1 << 16
 SEED = 7
 
 
@@ -253,7 +254,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     graphs = written(nodes.groupBy("shard").applyInPandas(make, graph_schema), "graphs")
     queries = rows.where(is_query).join(namesakes, "id", "left").groupBy("key", "v").agg(F.coalesce(F.max("namesakes"), F.lit(1)).alias("namesakes"))
     # Where one shard's queries are many, several copies of its graph share them.
-    parts = -(-max(1, queries.count()) // PART_QUERIES)
+    parts = -(-max(1, queries.count()) // max(1, min(PART_QUERIES, SHARD_BYTES // (8 * top.width))))
     blocks = queries.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
