@@ -84,8 +84,8 @@ def until(query, holds, seconds=90):
 
 
 def read_to(spark, home):
-    """The highest position that a finished batch has."""
-    done = [p for p in Path(f"{home}/out").glob("batch=*") if (p / "_SUCCESS").exists()]
+    """The highest position that a committed batch has; a batch that is not may be written again at any time."""
+    done = [p for p in Path(f"{home}/out").glob("batch=*") if Path(f"{home}/state/commits/{p.name.partition('=')[2]}").exists()]
     return max((spark.read.parquet(str(p)).agg(F.max("pos")).first()[0] or 0 for p in done), default=-1)
 
 
