@@ -228,6 +228,19 @@ def test_passages_of_which_many_quote_either_half(spark):
     assert all(kept[i] == texts[i] for i in texts if i not in pairs)
 
 
+def test_hub_keys_give_the_same_pairs(spark, monkeypatch):
+    """Units of frequent keys, with one label, one text or several, meet the same others whether their firsts are broadcast or joined."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(9), 0, at, 1 if at % 3 else rng.randrange(12), rng.randrange(2)) for at in range(90)]
+    rows += [(i, 0, 200, 50, 7) for i in range(20)] + [(1, 0, at, 51, at % 2) for at in range(300, 320)]
+    units = spark.createDataFrame(rows, "id long, h long, at int, key long, label long").cache()
+    got = []
+    for least in (2, 10**9):
+        monkeypatch.setattr(passages, "LEAST_HUB", least)
+        got.append([sorted(map(tuple, passages.grouped_pairs(units, bucket).collect())) for bucket in (2, 8)] + [sorted(map(tuple, passages.unlinked_first_pairs(units).collect()))])
+    assert got[0] == got[1] and all(got[0])
+
+
 def test_trie_counts_equal_brute_force():
     rng = random.Random(2)
     scores = trie_counts.zipf_scores([bytes([b]) for b in b"abc"] + [bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 5))) for _ in range(30)])
