@@ -21,8 +21,8 @@ SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 BLOCK = 255 * 128
 #: Rows of a bucket up to which every pair of it is checked.
 BUCKET = 16
-#: One in so many shingles is looked at for rare ones.
-SAMPLE = 4
+#: Slots, by their hashes, of a text's shingles.
+SLOTS = 1024
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -299,6 +299,28 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "atext", "btext").mapInPandas(run, "a long, b long")
 
 
+def possible(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """pairs (a, b) without those that cannot be alike(): a slot that one text fills and the other leaves empty holds a shingle that the other lacks, which bounds the similarity from above."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes, slots = [], []
+            for text in batch["text"]:
+                grams = set(shingles(words_of_text(text), width))
+                full = np.zeros(SLOTS, bool)
+                full[np.fromiter((xxhash.xxh64_intdigest(g) % SLOTS for g in grams), np.int64, len(grams))] = True
+                sizes.append(len(grams))
+                slots.append(np.packbits(full).view("<i8"))
+            yield pd.DataFrame({"id": batch["id"], "n": sizes, "slots": slots})
+
+    seen = written(texts.join(ends, "id", "left_semi").select("id", "text").mapInPandas(run, "id long, n int, slots array<long>"), "slots")
+    side = lambda name: seen.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("slots").alias(f"s{name}"))
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, n: total + n)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", F.least(F.col("na") - lacks("sa", "sb"), F.col("nb") - lacks("sb", "sa")))
+    return both.where(F.col("most") >= similarity * (F.col("na") + F.col("nb") - F.col("most")) - 1e-9).select("a", "b")
+
+
 def labels_of(links: DataFrame) -> DataFrame:
     """id and label of the ends of links (a, b): of the end itself and those it is linked to, the one with most links (then the least id), and of that one the same again. Rows of one label lie in one component."""
     both = links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select(F.col("b").alias("id"), F.col("a").alias("to")))
@@ -315,40 +337,15 @@ def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where("alabel != blabel").select("a", "b")
 
 
-def rare_pairs(texts: DataFrame, width: int, bucket: int, sample: int = SAMPLE) -> DataFrame:
-    """Pairs (a, b), a < b, of texts (id, text) that share a word shingle which bucket of them at most have, among one in sample of all shingles, told by their hashes.
-
-    Texts that have a form in common share its shingles with very many, and what is their own with their copies alone.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            ids, keys = [], []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                grams = set(shingles(words_of_text(text), width))
-                hashes = np.fromiter((digest(g, 7) for g in grams), np.uint64, len(grams))
-                hashes = hashes[hashes % np.uint64(sample) == 0]
-                ids.append(np.full(len(hashes), i, np.int64))
-                keys.append(hashes.view(np.int64))
-            if ids:
-                yield pd.DataFrame({"id": np.concatenate(ids), "key": np.concatenate(keys)})
-
-    keys = written(texts.select("id", "text").mapInPandas(run, "id long, key long"), "rare")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("key")
-    some = written(keys.join(shared, "key", "left_semi"), "shared")
-    return some.select("key", F.col("id").alias("a")).join(some.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-
-
-def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int, texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, turns: int = 2) -> DataFrame:
+def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int, texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, turns: int = 2, likely: int | None = None) -> DataFrame:
     """Links (a, b) between ids of nodes (id, f0, ...) that share a key of parts, differ in most bits or fewer of all longs and whose texts (id, text) are alike().
 
     Crowded buckets, those of over bucket rows, come first. In the first turn their rows are checked against a pivot, the one that shares most crowded
     buckets, which is the text the others are copies of, if there is one. In each further turn the pivot is such a row among those that no
-    pivot of the bucket has the label of, and it is checked against the rows of other labels, until a turn adds no link. Then the rows of crowded buckets are checked that share a rare
-    shingle (see rare_pairs()): copies in small groups among texts of one form, which fill their buckets. Last, every pair of different labels in the other buckets is checked. So a row meets at most
-    bucket others of a key and as many pivots as there are turns, and pairs grow in proportion to the rows, however large a group of near copies is.
+    pivot of the bucket has the label of, and it is checked against the rows of other labels, until a turn adds no link. Last, every pair of different labels in any bucket is checked, crowded or
+    not, so none is left out that would join two groups: those that differ in likely bits (by default most) or fewer first, then the others whose labels still differ. In the turns only pairs within likely bits are checked. The turns alone make few pairs of a large group of near copies; rows that share a bucket with very many others and are near to none of them are compared with them all.
     """
+    likely = most if likely is None else likely
     first = ["f0", "f1"][:longs]
     coarse = most * 64 * len(first) / (64 * longs)
     coarse += 3 * math.sqrt(coarse)
@@ -361,13 +358,15 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.select("key", F.col("id").alias(name), F.col("label").alias(f"{name}label"), *[F.col(f).alias(f"{name}{f}") for f in first])
 
-    def checked(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The pairs (a, b) near on all bits that were not tried before, and those of them that are alike."""
+    def close(pairs: DataFrame, tried: DataFrame | None, limit: int) -> DataFrame:
+        """The pairs (a, b) that differ in limit of all bits or fewer, with that number, and were not tried before."""
         left = nodes.select(F.col("id").alias("a"), *[F.col(f).alias(f"a{f}") for f in every])
         right = nodes.select(F.col("id").alias("b"), *[F.col(f).alias(f"b{f}") for f in every])
-        close = pairs.join(left, "a").join(right, "b").where(differing(every) <= most).select("a", "b")
-        close = written(close if tried is None else close.join(tried, ["a", "b"], "left_anti"), "close")
-        return close, written(alike(close, texts, width, similarity), "links")
+        found = pairs.join(left, "a").join(right, "b").select("a", "b", differing(every).alias("bits")).where(F.col("bits") <= limit)
+        return written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "close")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        return written(alike(pairs.select("a", "b"), texts, width, similarity), "links")
 
     def labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
         if links is None:
@@ -390,18 +389,19 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
             pivots = written(top.select("key", (-F.col("top.no")).alias("id")), "pivots")
             used = pivots if used is None else used.union(pivots)
             pairs = side(rows, "a").join(side(mine.join(pivots, ["key", "id"], "left_semi"), "b"), "key").where((F.col("alabel") != F.col("blabel")) & (differing(first) <= coarse))
-            close, new = checked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tried)
-            tried, links = (close, new) if tried is None else (tried.union(close), links.union(new))
+            some = close(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tried, likely)
+            new = joined(some)
+            tried, links = (some, new) if tried is None else (tried.union(some), links.union(new))
             if new.isEmpty():
                 break
-        own = rare_pairs(texts.join(busy.select("id").distinct(), "id", "left_semi"), width, bucket)
-        close, new = checked(_apart(own, labelled(nodes, links)), tried)
-        tried, links = tried.union(close), links.union(new)
     named = labelled(nodes, links)
-    calm = signatures(named, parts, True, "id", "label", *first).join(crowded.select("key"), "key", "left_anti")
-    pairs = side(calm, "a").join(side(calm.where("own"), "b"), "key").where((F.col("a") < F.col("b")) & (F.col("alabel") != F.col("blabel")) & (differing(first) <= coarse))
-    _, new = checked(pairs.select("a", "b").distinct(), tried)
-    return new if links is None else links.union(new).distinct()
+    rest = signatures(named, parts, True, "id", "label", *first)
+    pairs = side(rest, "a").join(side(rest.where("own"), "b"), "key").where((F.col("a") < F.col("b")) & (F.col("alabel") != F.col("blabel")) & (differing(first) <= coarse))
+    rest = close(pairs.select("a", "b").distinct(), tried, most)
+    new = joined(rest.where(F.col("bits") <= likely))
+    links = new if links is None else links.union(new)
+    open_ = written(_apart(rest.where(F.col("bits") > likely), labelled(nodes, links)), "open")
+    return links.union(joined(written(possible(open_, texts, width, similarity), "possible"))).distinct()
 
 
 @settled("groups")
@@ -427,7 +427,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall
     count = 64 * longs // bits
     parts = plan(n, both, count - 1, range(count, count + 1), most=1)
     most = math.floor(differ * 64 * longs + 3 * math.sqrt(differ * (1 - differ) * 64 * longs))
-    links = near_links(nodes.drop("low"), longs, parts, most, texts, width, similarity)
+    links = near_links(nodes.drop("low"), longs, parts, most, texts, width, similarity, likely=math.floor(differ * 64 * longs))
     of = connected_components(links)
     named = nodes.join(of, nodes.id == of.node, "left").select(*every, "low", F.coalesce("component", "id").alias("group"))
     least = named.groupBy("group").agg(F.min("low").alias("least"))

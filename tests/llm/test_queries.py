@@ -178,6 +178,20 @@ def test_copies_among_texts_of_one_form_are_found(spark, n):
     assert sum(2 * i + 1 not in kept for i in range(n // 2)) >= 0.99 * (n // 2)
 
 
+def test_groups_in_one_crowded_bucket_are_found(spark):
+    """Ten groups of three near copies stand in one bucket that has room for two: more groups than pivots, and what a group shares, more than two of it have."""
+    rng = random.Random(19)
+    found = []
+    for i in range(10):
+        one = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        found += [(3 * i + k, " ".join([*one[: 99 - k], f"x{i}-{k}", *one[100 - k :]])) for k in range(3)]
+    texts = spark.createDataFrame(found, "id long, text string")
+    nodes = texts.select("id", F.lit(0).cast("long").alias("f0"))
+    links = simhash.near_links(nodes, 1, [simhash.Partition(tuple(range(16)), 0)], 0, texts, 5, 0.8, bucket=2)
+    got = common.connected_components(links).collect()
+    assert sorted((r.node, r.component) for r in got) == [(i, i // 3 * 3) for i in range(30)]
+
+
 def test_rows_that_share_an_id_are_told_apart(spark):
     rng = random.Random(5)
     text, other, third = (same_words(rng, 80) for _ in range(3))
