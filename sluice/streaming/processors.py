@@ -117,11 +117,15 @@ class KindCounts(StatefulProcessor):
         self.counts = handle.getMapState("counts", "kind string", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        counts: dict[str | None, int] = {}  # of this batch's kinds: the state is asked and told once for each, not for each row
         for r in sorted(rows, key=_by(self.time, self.id)):
-            kind = (r[self.kind],)
-            n = (self.counts.getValue(kind)[0] if self.counts.containsKey(kind) else 0) + 1
-            self.counts.updateValue(kind, (n,))
-            yield Row(**{self.id: r[self.id], self.key: key[0], self.kind: r[self.kind], "n": n})
+            kind = r[self.kind]
+            if kind not in counts:
+                counts[kind] = self.counts.getValue((kind,))[0] if self.counts.containsKey((kind,)) else 0
+            counts[kind] += 1
+            yield Row(**{self.id: r[self.id], self.key: key[0], self.kind: kind, "n": counts[kind]})
+        for kind, n in counts.items():
+            self.counts.updateValue((kind,), (n,))
 
     def close(self) -> None:
         pass

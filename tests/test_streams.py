@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sluice import catalog
@@ -218,3 +219,42 @@ def test_repeats_are_dropped_over_restarts(spark, tmp_path):
     query = delivered_once(rows, "id", time="ts", within="1 hour").writeStream.foreachBatch(lambda df, _: got.extend(r.id for r in df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(got) == [1, 2, 3, 4, 5]
+
+
+class _State:
+    """A map or value state that counts what it is asked and told."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _called(self, found):
+        self.calls += 1
+        return found
+
+    def containsKey(self, kind):
+        return self._called(kind in self.held)
+
+    def getValue(self, kind):
+        return self._called(self.held[kind])
+
+    def updateValue(self, kind, value):
+        self._called(self.held.update({kind: value}))
+
+    def exists(self):
+        return self._called(bool(self.held))
+
+    def get(self):
+        return self._called(self.held.get(None))
+
+    def update(self, value):
+        self._called(self.held.update({None: value}))
+
+
+def test_kinds_meet_the_state_once_a_batch():
+    counts, state = processors.KindCounts(), _State()
+    counts.counts = state
+    batch = [Row(event_id=i, ts=i, event_type=(None, "a", "b")[i % 3]) for i in range(300)]
+    for turn in range(2):
+        got = [(r.event_id, r.n) for r in counts.handleInputRows((1,), iter(batch), None)]
+        assert got == [(i, 100 * turn + i // 3 + 1) for i in range(300)]
+    assert state.calls <= 2 * 3 * 3
