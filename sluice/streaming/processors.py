@@ -5,9 +5,11 @@ Rows of a batch are sorted before use, as shuffles do not keep order; so what on
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -254,7 +256,7 @@ class Controlled(StatefulProcessor):
     """Data rows whose value is above the latest control value that arrived before them, default before any, with it as threshold.
 
     Every shard of the data has a copy of the control state: control rows are dealt to all shards (see dealt()), data rows to one. The state is kept over batches and restarts,
-    and within a batch rows meet it in the order of arrival. Null control values change nothing; null data values pass no threshold.
+    and within a batch rows meet it in the order of arrival, whole numbers as the ids are. Null control values change nothing; null data values pass no threshold.
     """
 
     SCHEMA = "event_id long, value double, threshold double"
@@ -267,13 +269,30 @@ class Controlled(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         threshold = self.control.get()[0] if self.control.exists() else None
-        for r in sorted(rows, key=_by(self.order, self.id)):
-            if r.control:
-                threshold = threshold if r.value is None else r.value
-            elif r.value is not None and r.value > (now := self.default if threshold is None else threshold):
-                yield Row(**{self.id: r[self.id], "value": r.value, "threshold": now})
-        if threshold is not None:
-            self.control.update((threshold,))
+        # Every shard has all control rows: of a row a few numbers stay, in arrays.
+        orders, ids, values, control = (array("q"), bytearray()), (array("q"), bytearray()), array("d"), bytearray()
+        columns = [(self.order, orders)] if self.order == self.id else [(self.order, orders), (self.id, ids)]
+        for r in rows:
+            if r.value is None:
+                continue
+            for name, (numbers, there) in columns:
+                numbers.append(0 if r[name] is None else r[name])
+                there.append(r[name] is not None)
+            values.append(r.value)
+            control.append(bool(r.control))
+        if not values:
+            return
+        # Sorted by order, then id, nulls first; of each place the last control row up to it.
+        keys = [x for _, (numbers, there) in reversed(columns) for x in (np.frombuffer(numbers, np.int64), np.frombuffer(there, np.uint8))]
+        at = np.lexsort(keys)
+        value, is_control = np.frombuffer(values)[at], np.frombuffer(control, np.uint8)[at] == 1
+        last = np.maximum.accumulate(np.where(is_control, np.arange(len(at)), -1))
+        now = np.where(last < 0, self.default if threshold is None else threshold, value[last])
+        numbers, there = columns[-1][1]
+        for k in np.nonzero(~is_control & (value > now))[0].tolist():
+            yield Row(**{self.id: numbers[at[k]] if there[at[k]] else None, "value": float(value[k]), "threshold": float(now[k])})
+        if last[-1] >= 0:
+            self.control.update((float(value[last[-1]]),))
 
     def close(self) -> None:
         pass

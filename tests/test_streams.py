@@ -5,6 +5,7 @@ import os
 import socket
 import threading
 import time
+import tracemalloc
 
 import duckdb
 import pytest
@@ -258,3 +259,23 @@ def test_kinds_meet_the_state_once_a_batch():
         got = [(r.event_id, r.n) for r in counts.handleInputRows((1,), iter(batch), None)]
         assert got == [(i, 100 * turn + i // 3 + 1) for i in range(300)]
     assert state.calls <= 2 * 3 * 3
+
+
+def test_control_rows_are_held_as_numbers():
+    """Rows come one by one and go: 200,000 control rows of a shard take no more than 100 bytes each."""
+    controlled, state = processors.Controlled(), _State()
+    controlled.control = state
+    rows = (Row(event_id=i if i else None, control=i % 100 != 0, value=None if i % 7 == 1 else float(i % 11)) for i in range(200_000))
+    expected, threshold = [], 0.0
+    for i in range(200_000):
+        value = None if i % 7 == 1 else float(i % 11)
+        if i % 100:
+            threshold = threshold if value is None else value
+        elif value is not None and value > threshold:
+            expected.append((i or None, value, threshold))
+    tracemalloc.start()
+    got = [(r.event_id, r.value, r.threshold) for r in controlled.handleInputRows((0,), rows, None)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == expected and state.held[None] == (threshold,)
+    assert peak < 100 * 200_000
