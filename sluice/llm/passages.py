@@ -192,16 +192,20 @@ def unlinked_units(units: DataFrame, found: DataFrame) -> DataFrame:
     return _with_first(told, keys, F.col("low") != F.col("high"), "n").drop("n")
 
 
+def every_pair(units: DataFrame) -> DataFrame:
+    """Pairs of units (id, h, at, key, label) that share a key and differ in label: each with the first one of each earlier text."""
+    # Of the earlier text the first place is enough: what stays is there.
+    other = units.groupBy("key", F.col("id").alias("rid"), F.col("h").alias("rh")).agg(F.min(F.struct("at", "label")).alias("one")).select("key", "rid", "rh", F.col("one.at").alias("rat"), F.col("one.label").alias("rlabel"))
+    return units.join(other, "key").where("(id > rid or (id = rid and h > rh)) and label != rlabel").select("id", "h", "at", "rid", "rh", "rat")
+
+
 def grouped_pairs(units: DataFrame, bucket: int) -> DataFrame:
     """Pairs of units (id, h, at, key, label) that share a key and differ in label: each with the first one of each earlier text in groups of at most bucket units, in larger ones with the first of the group."""
     doc = F.struct("id", "h")
     sizes = units.groupBy("key").agg(F.count("*").alias("n"), F.min(doc).alias("low"), F.max(doc).alias("high"), F.min("label").alias("one"), F.max("label").alias("other"))
     sizes = sizes.select("key", "n", ((F.col("low") != F.col("high")) & (F.col("one") != F.col("other"))).alias("split"))
     told = _with_first(units, written(sizes.where(F.col("split") | (F.col("n") > LEAST_HUB)), "sizes"), F.col("split"), "n")
-    calm = told.where(F.col("n") <= bucket).drop("n")
-    # Of the earlier text the first place is enough: what stays is there.
-    other = calm.groupBy("key", F.col("id").alias("rid"), F.col("h").alias("rh")).agg(F.min(F.struct("at", "label")).alias("one")).select("key", "rid", "rh", F.col("one.at").alias("rat"), F.col("one.label").alias("rlabel"))
-    each = calm.join(other, "key").where("(id > rid or (id = rid and h > rh)) and label != rlabel").select("id", "h", "at", "rid", "rh", "rat")
+    each = every_pair(told.where(F.col("n") <= bucket).drop("n"))
     many = told.where(F.col("n") > bucket).drop("n")
     return each.union(unlinked_first_pairs(many))
 
@@ -228,10 +232,10 @@ def grams_at(docs: DataFrame, places: DataFrame, before: range, width: int) -> D
     return docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInPandas(run, "id long, h long, at int, key long, label long")
 
 
-def together(docs: DataFrame, crowded: DataFrame, run: int, reach: int, bucket: int) -> DataFrame:
+def together(docs: DataFrame, crowded: DataFrame, run: int, reach: int) -> DataFrame:
     """Pairs of crowded places (id, h, at, key, label) whose texts have a further anchor in common within reach words of them: what a passage has before or after an edit, where many texts share one side of it.
 
-    Texts that share both are few where each side alone is quoted by many: in groups of at most bucket each place meets each earlier text, in larger ones the first of the group.
+    Texts that share both are few where each side alone is quoted by many: each place meets each earlier text, however many they are.
     """
     lists = crowded.groupBy("id", "h").agg(F.collect_set(F.struct("at", "key", "label")).alias("places"))
 
@@ -251,7 +255,7 @@ def together(docs: DataFrame, crowded: DataFrame, run: int, reach: int, bucket:
         _hashes.clear()
 
     both = docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInPandas(found, "id long, h long, at int, key long, label long")
-    return grouped_pairs(written(both, "together"), bucket)
+    return every_pair(written(both, "together"))
 
 
 def further_pairs(docs: DataFrame, rest: DataFrame, run: int, least: int, bucket: int = BUCKET) -> DataFrame:
@@ -267,7 +271,7 @@ def further_pairs(docs: DataFrame, rest: DataFrame, run: int, least: int, bucket
     sizes = written(sizes.where(F.col("split") | (F.col("n") > LEAST_HUB)), "large")
     crowded = written(_with_first(wide, sizes, F.col("split"), "n").drop("n"), "crowded")
     long = written(grams_at(docs, crowded, range(-half, run), least), "long")
-    return grouped_pairs(wide, bucket).union(unlinked_first_pairs(long)).union(together(docs, crowded, run, least + 2 * WINDOW, bucket)).distinct()
+    return grouped_pairs(wide, bucket).union(unlinked_first_pairs(long)).union(together(docs, crowded, run, least + 2 * WINDOW)).distinct()
 
 
 def candidate_runs(pairs: DataFrame) -> DataFrame:

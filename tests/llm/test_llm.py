@@ -228,6 +228,17 @@ def test_passages_of_which_many_quote_either_half(spark):
     assert all(kept[i] == texts[i] for i in texts if i not in pairs)
 
 
+def test_places_with_a_further_anchor_in_common_all_meet(spark):
+    """80 texts share 30 words on either side of a word of their own: every two of them are paired."""
+    rng = random.Random(23)
+    left, right = prose(rng, 30), prose(rng, 30)
+    docs = made(spark, [(i, f"{left} x{i} {right}", "a") for i in range(80)])
+    docs = docs.select(F.struct("doc_id", F.lit(0).cast("long")).cast("struct<id:long,h:long>").alias("doc"), "text")
+    crowded = docs.select("doc.id", "doc.h", F.lit(0).alias("at"), F.lit(1).cast("long").alias("key"), F.col("doc.id").alias("label"))
+    got = passages.together(docs, crowded, 25, 66).select("id", "rid").distinct().collect()
+    assert sorted(map(tuple, got)) == [(i, k) for i in range(80) for k in range(i)]
+
+
 def test_hub_keys_give_the_same_pairs(spark, monkeypatch):
     """Units of frequent keys, with one label, one text or several, meet the same others whether their firsts are broadcast or joined."""
     rng = random.Random(5)
