@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, settled, table, unused, written
+from .common import block_pairs, connected_components, settled, table, unused, written
 
 #: Words of an anchor: a hash of so many words that is the least of its neighbourhood.
 WINDOW = 8
@@ -21,6 +21,10 @@ LEAST = 50
 SIMILARITY = 0.8
 CACHE = 200_000
 BUCKET = 64
+#: Places that share a further anchor: up to so many meet as rows, more of them in blocks.
+FEW = 16
+#: Words on either side of a place by which a pair of places is refuted, and how far apart, in words, one anchor of a chain may be from the next in the two texts.
+AROUND, DRIFT = 104, 8
 #: A key is a hub if it has over LEAST_HUB units and over one part in MOST_HUBS of all: so there are fewer hubs than MOST_HUBS.
 LEAST_HUB = 1_000
 MOST_HUBS = 10_000
@@ -130,7 +134,7 @@ def whole_copies(texts: DataFrame) -> DataFrame:
     return texts.join(first, ["h", "words"]).where("id > rid").select("id", "h", "words", "rid").distinct()
 
 
-def _chains(found: list, gap: int = 64, drift: int = 8) -> list[tuple]:
+def _chains(found: list, gap: int = 64, drift: int = DRIFT) -> list[tuple]:
     """Runs (start, end, other doc, its start, its end, matches) of matched anchors that follow each other in both texts. They may hold several passages: matched_runs() tells them apart."""
     by_doc: dict[tuple, list] = {}
     for m in found:
@@ -232,17 +236,88 @@ def grams_at(docs: DataFrame, places: DataFrame, before: range, width: int) -> D
     return docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInPandas(run, "id long, h long, at int, key long, label long")
 
 
-def together(docs: DataFrame, crowded: DataFrame, run: int, reach: int) -> DataFrame:
+def may_repeat(x: np.ndarray, y: np.ndarray, similarity: float, least: int) -> np.ndarray:
+    """Which pairs of places may lie in or beside a passage of least words and that similarity, by x and y (a row for each pair): bytes of the 2 * AROUND shingles around either place, 0 where the text has none.
+
+    Take of such a passage, or of a part that has at least its share of equal shingles, m shingles in x. Of these M are missing in y, of y's L in x, and L is SHINGLE - 1 at least if M is not 0: an edit takes as many from either side.
+    m - M >= similarity / (1 + similarity) * (2m - M + L) follows, which bounds m from below for each M. Parts of between one and two times the least size are enough to look for. A shingle that y has within DRIFT words counts as equal, so no such pair is refused.
+    """
+    upto, share, least_size = _missing(x, y), similarity / (1 + similarity), least - SHINGLE + 1
+    most = min(AROUND, 2 * least_size + SHINGLE + DRIFT)
+    size = lambda gone, lost: (gone * (1 - share) + share * lost) / (1 - 2 * share)
+    found = np.zeros(len(x), bool)
+    for gone in range(AROUND):
+        m = max(least_size, math.ceil(size(gone, SHINGLE - 1) - 1e-9) if gone else 0)
+        if m > most:
+            break
+        found |= (upto[:, m:] - upto[:, :-m] <= gone).any(1)
+    # With what y is seen to lack, but for DRIFT shingles at either end; sizes between two steps count as the greater.
+    at, step = np.nonzero(found)[0], SHINGLE
+    mine, theirs, alike = upto[at], _missing(y[at], x[at]), np.zeros(len(at), bool)
+    for m in range(least_size, most + 1, step):
+        gone = (mine[:, m:] - mine[:, :-m]).astype(np.int16)
+        lost = theirs[:, m - DRIFT : theirs.shape[1] - DRIFT] - theirs[:, DRIFT : theirs.shape[1] - m + DRIFT]
+        alike |= (size(gone, np.maximum(lost, (SHINGLE - 1) * (gone > 0))) <= m + step - 1 + 1e-9).any(1)
+    found[at] = alike
+    return found
+
+
+def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair how many of the first 0, 1, 2, ... shingles of x are missing in y within DRIFT of their place."""
+    width = x.shape[1]
+    wide = np.zeros((len(y), width + 2 * DRIFT), np.uint8)
+    wide[:, DRIFT:-DRIFT] = y
+    missing = np.ones(x.shape, bool)
+    for d in range(2 * DRIFT + 1):
+        missing &= x != wide[:, d : d + width]
+    missing |= x == 0
+    upto = np.zeros((len(x), width + 1), np.uint8)
+    np.cumsum(missing, axis=1, dtype=np.uint8, out=upto[:, 1:])
+    return upto
+
+
+def pairs_in_blocks(units: DataFrame, similarity: float, least: int) -> DataFrame:
+    """Pairs of units (id, h, at, key, label, around, others) that share a key, differ in label and may_repeat() one another: the later text's place with the earlier one's. Others do not become rows.
+
+    others are all keys of the place: a pair becomes a row under the least key that both have.
+    """
+    schema = "id long, h long, at int, rid long, rh long, rat int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some = [np.zeros((0, 6), np.int64)]
+            for r in batch.itertuples(index=False):
+                i, j = np.nonzero((r.alabel[:, None] != r.blabel) & ((r.aid[:, None] != r.bid) | (r.ah[:, None] != r.bh)))
+                x, y = r.aaround.view(np.uint8).reshape(len(r.aid), -1), r.baround.view(np.uint8).reshape(len(r.bid), -1)
+                ours, theirs = ([set(v.tolist()) for v in np.split(keys, np.cumsum(many)[:-1])] for keys, many in ((r.aothers, r.amany), (r.bothers, r.bmany)))
+                for k in range(0, len(i), 1024):
+                    p, q = i[k : k + 1024], j[k : k + 1024]
+                    may = may_repeat(x[p], y[q], similarity, least)
+                    p, q = p[may], q[may]
+                    one = np.array([min(ours[v] & theirs[w]) == r.key for v, w in zip(p.tolist(), q.tolist(), strict=True)], bool)
+                    p, q = p[one], q[one]
+                    one, two = (np.stack([v.astype(np.int64) for v in side], 1) for side in ((r.aid[p], r.ah[p], r.aat[p]), (r.bid[q], r.bh[q], r.bat[q])))
+                    later = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
+                    some.append(np.where(later[:, None], np.concatenate([one, two], 1), np.concatenate([two, one], 1)))
+            yield pd.DataFrame(np.unique(np.concatenate(some), axis=0), columns=[x.split()[0] for x in schema.split(", ")]).astype({"at": np.int32, "rat": np.int32})
+
+    return block_pairs(units.withColumn("many", F.size("others")), 64, "id", "h", "at", "label", "around", "others", "many").mapInPandas(run, schema)
+
+
+def together(docs: DataFrame, crowded: DataFrame, run: int, reach: int, similarity: float = SIMILARITY, least: int = LEAST, few: int = FEW) -> DataFrame:
     """Pairs of crowded places (id, h, at, key, label) whose texts have a further anchor in common within reach words of them: what a passage has before or after an edit, where many texts share one side of it.
 
-    Texts that share both are few where each side alone is quoted by many: each place meets each earlier text, however many they are.
+    Texts that share both are few where each side alone is quoted by many: each place meets each earlier text, however many they are; over few, in blocks that keep what may_repeat().
     """
     lists = crowded.groupBy("id", "h").agg(F.collect_set(F.struct("at", "key", "label")).alias("places"))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i, h, text, places in zip(batch["id"], batch["h"], batch["text"], batch["places"], strict=True):
-                anchors, beside = anchors_of(text.split(), run)
+                words = text.split()
+                anchors, beside = anchors_of(words, run)
+                grams = _grams(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), SHINGLE)
+                padded = np.concatenate([np.zeros(AROUND, np.uint8), (grams % np.uint64(255) + np.uint64(1)).astype(np.uint8), np.zeros(AROUND + SHINGLE, np.uint8)])
                 ats, keys, labels = [], [], []
                 for place in sorted(places, key=lambda x: x["at"]):
                     low, high = np.searchsorted(anchors, (place["at"] - reach, place["at"] + reach + 1))
@@ -251,11 +326,18 @@ def together(docs: DataFrame, crowded: DataFrame, run: int, reach: int) -> DataF
                     ats.append(np.full(len(near), place["at"], np.int32))
                     labels.append(np.full(len(near), place["label"], np.int64))
                 keys, first = np.unique(np.concatenate(keys), return_index=True)
-                yield pd.DataFrame({"id": i, "h": h, "at": np.concatenate(ats)[first], "key": keys.view(np.int64), "label": np.concatenate(labels)[first]})
+                at = np.concatenate(ats)[first]
+                around = [padded[s : s + 2 * AROUND].view(np.int64) for s in at.tolist()]
+                keys = keys.view(np.int64)
+                own = {s: keys[at == s] for s in set(at.tolist())}
+                yield pd.DataFrame({"id": i, "h": h, "at": at, "key": keys, "label": np.concatenate(labels)[first], "around": around, "others": [own[s] for s in at.tolist()]})
         _hashes.clear()
 
-    both = docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInPandas(found, "id long, h long, at int, key long, label long")
-    return every_pair(written(both, "together"))
+    both = docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInPandas(found, "id long, h long, at int, key long, label long, around array<long>, others array<long>")
+    both = written(both, "together")
+    sizes = both.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sized = both.join(sizes.where("low != high").select("key", "n"), "key")
+    return every_pair(sized.where(F.col("n") <= few).drop("n", "around", "others")).union(pairs_in_blocks(sized.where(F.col("n") > few).drop("n"), similarity, least))
 
 
 def further_pairs(docs: DataFrame, rest: DataFrame, run: int, least: int, bucket: int = BUCKET) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, settled, table, unused, written
+from .common import block_pairs, connected_components, settled, table, unused, written
 
 #: Row b holds bit i of byte b in byte i of a long: up to 255 rows add up without a carry between bits.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -299,26 +299,60 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "atext", "btext").mapInPandas(run, "a long, b long")
 
 
+def possible_in_blocks(rows: DataFrame, longs: int, most: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, label, own, facts: n, longs of fingerprint and filled_slots()) that share a key, which one of them owns, and differ in label and in most bits or fewer, without those that cannot be alike(). Others do not become rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some = []
+            for r in batch.itertuples(index=False):
+                i, j = np.nonzero((r.alabel[:, None] != r.blabel) & (r.aown[:, None] | r.bown))
+                if not len(i):
+                    continue
+                x, y = (facts.reshape(len(ids), -1)[at] for facts, ids, at in ((r.afacts, r.aid, i), (r.bfacts, r.bid, j)))
+                near = np.bitwise_count((x[:, 1 : longs + 1] ^ y[:, 1 : longs + 1]).view(np.uint64)).sum(1, dtype=int) <= most
+                x, y, i, j = x[near], y[near], i[near], j[near]
+                p, q = (v[:, longs + 1 :].view(np.uint64) for v in (np.ascontiguousarray(x), np.ascontiguousarray(y)))
+                shared = np.minimum(x[:, 0] - np.bitwise_count(p & ~q).sum(1, dtype=int), y[:, 0] - np.bitwise_count(q & ~p).sum(1, dtype=int))
+                may = shared * (1 + similarity) >= similarity * (x[:, 0] + y[:, 0]) - 1e-9
+                some.append(np.stack([r.aid[i[may]], r.bid[j[may]]], 1))
+            found = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *some]), 1), axis=0)
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return block_pairs(rows, 64, "id", "label", "own", "facts").mapInPandas(run, "a long, b long")
+
+
 def possible(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """pairs (a, b) without those that cannot be alike(): a slot that one text fills and the other leaves empty holds a shingle that the other lacks, which bounds the similarity from above."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    seen = written(filled_slots(texts.join(ends, "id", "left_semi"), width), "slots")
+    side = lambda name: seen.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}{c}") for c in seen.columns[1:]])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_be_alike(similarity)).select("a", "b")
+
+
+def filled_slots(texts: DataFrame, width: int) -> DataFrame:
+    """id, n (distinct shingles) and s0, s1, ...: the slots that the text's shingles fill, as bits, of each of texts (id, text)."""
+    longs = [f"s{i}" for i in range(SLOTS // 64)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, slots = [], []
-            for text in batch["text"]:
+            sizes, slots = [], np.zeros((len(batch), len(longs)), np.int64)
+            for i, text in enumerate(batch["text"]):
                 grams = set(shingles(words_of_text(text), width))
                 full = np.zeros(SLOTS, bool)
                 full[np.fromiter((xxhash.xxh64_intdigest(g) % SLOTS for g in grams), np.int64, len(grams))] = True
                 sizes.append(len(grams))
-                slots.append(np.packbits(full).view("<i8"))
-            yield pd.DataFrame({"id": batch["id"], "n": sizes, "slots": slots})
+                slots[i] = np.packbits(full).view("<i8")
+            yield pd.DataFrame({"id": batch["id"], "n": np.array(sizes, np.int32)} | dict(zip(longs, slots.T, strict=True)))
+
+    return texts.select("id", "text").mapInPandas(run, ", ".join(["id long", "n int", *(f"{c} long" for c in longs)]))
+
 
-    seen = written(texts.join(ends, "id", "left_semi").select("id", "text").mapInPandas(run, "id long, n int, slots array<long>"), "slots")
-    side = lambda name: seen.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("slots").alias(f"s{name}"))
-    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, n: total + n)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("most", F.least(F.col("na") - lacks("sa", "sb"), F.col("nb") - lacks("sb", "sa")))
-    return both.where(F.col("most") >= similarity * (F.col("na") + F.col("nb") - F.col("most")) - 1e-9).select("a", "b")
+def _may_be_alike(similarity: float) -> Column:
+    """Whether two rows of filled_slots(), with a and b before their columns' names, may have that similarity: each shared shingle is in a slot that both fill."""
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"{x}s{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}s{i}")))) for i in range(SLOTS // 64))
+    most = F.least(F.col("an") - lacks("a", "b"), F.col("bn") - lacks("b", "a"))
+    return most * (1 + similarity) >= similarity * (F.col("an") + F.col("bn")) - 1e-9
 
 
 def labels_of(links: DataFrame) -> DataFrame:
@@ -343,7 +377,8 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
     Crowded buckets, those of over bucket rows, come first. In the first turn their rows are checked against a pivot, the one that shares most crowded
     buckets, which is the text the others are copies of, if there is one. In each further turn the pivot is such a row among those that no
     pivot of the bucket has the label of, and it is checked against the rows of other labels, until a turn adds no link. Last, every pair of different labels in any bucket is checked, crowded or
-    not, so none is left out that would join two groups: those that differ in likely bits (by default most) or fewer first, then the others whose labels still differ. In the turns only pairs within likely bits are checked. The turns alone make few pairs of a large group of near copies; rows that share a bucket with very many others and are near to none of them are compared with them all.
+    not, so none is left out that would join two groups: those that differ in likely bits (by default most) or fewer first, then the others whose labels still differ. In the turns only pairs within likely bits are checked. The turns alone make few pairs of a large group of near copies; rows that share a bucket with very many others and are near to none of them are compared with them all, but in blocks, by
+    their fingerprints and slots, so that only pairs which may be alike() become rows.
     """
     likely = most if likely is None else likely
     first = ["f0", "f1"][:longs]
@@ -396,8 +431,19 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
                 break
     named = labelled(nodes, links)
     rest = signatures(named, parts, True, "id", "label", *first)
-    pairs = side(rest, "a").join(side(rest.where("own"), "b"), "key").where((F.col("a") < F.col("b")) & (F.col("alabel") != F.col("blabel")) & (differing(first) <= coarse))
-    rest = close(pairs.select("a", "b").distinct(), tried, most)
+    other = (F.col("a") < F.col("b")) & (F.col("alabel") != F.col("blabel"))
+    small = rest.join(crowded, "key", "left_anti")
+    pairs = side(small, "a").join(side(small.where("own"), "b"), "key").where(other & (differing(first) <= coarse)).select("a", "b")
+    if tried is not None:
+        # A crowded bucket's rows meet in blocks, with all that refutes a pair, so of the pairs that cannot be near copies no row is made.
+        large = written(labelled(busy, links).select("key", "id", "label", "own"), "crowded-labels")
+        split = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        large = written(large.join(split, "key").select("key", "id", "label", "own"), "large")
+        ids = large.select("id").distinct()
+        facts = written(filled_slots(texts.join(ids, "id", "left_semi"), width).join(nodes.select("id", *every), "id"), "facts")
+        large = large.join(facts.select("id", F.array(F.col("n").cast("long"), *every, *[c for c in facts.columns if c[0] == "s"]).alias("facts")), "id")
+        pairs = pairs.union(possible_in_blocks(large, longs, most, similarity))
+    rest = close(pairs.distinct(), tried, most)
     new = joined(rest.where(F.col("bits") <= likely))
     links = new if links is None else links.union(new)
     open_ = written(_apart(rest.where(F.col("bits") > likely), labelled(nodes, links)), "open")

@@ -403,3 +403,57 @@ def test_stages_keep_extra_columns_and_edge_rows(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         out.count()
+
+
+def test_outliers_of_a_group_make_few_rows(spark, monkeypatch):
+    """Texts that differ from one text in 7 to 10 of 150 words are mostly no near copies of one another: what stays is what all pairs would leave, and few pairs become rows."""
+    rng = random.Random(47)
+    base = [f"v{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randrange(7, 11)):
+            words[k] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), "a"))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t, _ in rows]
+    group = list(range(250))
+    for _ in range(3):
+        for i in range(250):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+    seen, plain = [], simhash.possible
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "possible", counted)
+    kept = {r.doc_id for r in simhash.drop_near_copies(made(spark, rows)).collect()}
+    assert kept == {i for i in range(250) if group[i] == i} and len(kept) > 200
+    assert seen[0] < 1000
+
+
+def test_places_that_cannot_repeat_make_no_rows(spark):
+    """Each with each of 80 places under one key: those pairs alone are left out that no passage can hold, and what is equal over 50 words or with one edit is kept, once."""
+    rng = random.Random(48)
+    base = [f"v{rng.randrange(3000)}" for _ in range(300)]
+    texts = []
+    for i in range(80):
+        words = list(base)
+        for k in range(i % 7, 300, 12 + i % 5):  # no 50 words of two texts with one edit at most
+            words[k] = f"new{i}-{k}"
+        texts.append(words)
+    texts[7], texts[60] = list(base), [*base[:140], "more", *base[140:]]
+    texts[61][100:200] = texts[62][100:200] = [f"own{k}" for k in range(45)] + base[145:165] + ["some", "thing"] + [f"own{k}" for k in range(67, 100)]
+    texts[62][170] = "edited"
+
+    def around(words):
+        grams = passages._grams(np.array([passages._hashes[w] for w in words], np.uint64), 5)
+        padded = np.concatenate([np.zeros(104, np.uint8), (grams % 255 + 1).astype(np.uint8), np.zeros(109, np.uint8)])
+        return padded[150:358].view(np.int64).tolist()
+
+    rows = [(i, 0, 150, key, i, around(t), [5, 9]) for i, t in enumerate(texts) for key in (5, 9)]
+    units = spark.createDataFrame(rows, "id long, h long, at int, key long, label long, around array<long>, others array<long>")
+    got = [(r.id, r.rid) for r in passages.pairs_in_blocks(units, 0.8, 50).collect()]
+    assert {(60, 7), (62, 61)} <= set(got) and len(got) == len(set(got)) < 300
