@@ -76,12 +76,14 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def block_pairs(rows: DataFrame, size: int, *columns: str) -> DataFrame:
-    """Each two rows of rows (key and columns) that share a key meet in one row of this: the key and a pair of blocks, about size rows of the key each, as lists (a block with itself too).
+    """Each two rows of rows (key and columns; n, how many share the key, is counted unless it is there) that share a key meet in one row of this: the key and a pair of blocks, about size rows of the key each, as lists (a block with itself too).
 
     The lists of the one block have a before their columns' names, those of the other b; arrays are strung together. So pairs can be checked many at a time, in tasks of their own, and only those that pass need become rows.
     """
     number = F.pmod(F.xxhash64(*columns[:2]), F.ceil(F.col("n") / size))
-    dealt = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "n", number.alias("block"), *columns)
+    sized = rows if "n" in rows.columns else rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+    # By key and block, so that the blocks of one key are gathered in many tasks.
+    dealt = sized.select("key", "n", number.alias("block"), *columns).repartition("key", "block")
     kinds = dict(rows.dtypes)
     lists = [F.flatten(F.collect_list(c)) if kinds[c].startswith("array") else F.collect_list(c) for c in columns]
     blocks = written(dealt.groupBy("key", "block").agg(F.first("n").alias("n"), *[x.alias(c) for x, c in zip(lists, columns, strict=True)]), "blocks")

@@ -203,15 +203,25 @@ def every_pair(units: DataFrame) -> DataFrame:
     return units.join(other, "key").where("(id > rid or (id = rid and h > rh)) and label != rlabel").select("id", "h", "at", "rid", "rh", "rat")
 
 
-def grouped_pairs(units: DataFrame, bucket: int) -> DataFrame:
-    """Pairs of units (id, h, at, key, label) that share a key and differ in label: each with the first one of each earlier text in groups of at most bucket units, in larger ones with the first of the group."""
+def sized_groups(units: DataFrame) -> DataFrame:
+    """Those of units (id, h, at, key, label) whose key has different labels, with n, how many share it, and several, whether they stand in more than one text."""
     doc = F.struct("id", "h")
     sizes = units.groupBy("key").agg(F.count("*").alias("n"), F.min(doc).alias("low"), F.max(doc).alias("high"), F.min("label").alias("one"), F.max("label").alias("other"))
-    sizes = sizes.select("key", "n", ((F.col("low") != F.col("high")) & (F.col("one") != F.col("other"))).alias("split"))
-    told = _with_first(units, written(sizes.where(F.col("split") | (F.col("n") > LEAST_HUB)), "sizes"), F.col("split"), "n")
-    each = every_pair(told.where(F.col("n") <= bucket).drop("n"))
-    many = told.where(F.col("n") > bucket).drop("n")
-    return each.union(unlinked_first_pairs(many))
+    sizes = sizes.select("key", "n", (F.col("low") != F.col("high")).alias("several"), (F.col("one") != F.col("other")).alias("split"))
+    sizes = written(sizes.where(F.col("split") | (F.col("n") > LEAST_HUB)), "sizes")
+    # Written, for it is read several times.
+    return written(_with_first(units, sizes, F.col("split"), "n", "several"), "sized")
+
+
+def grouped_pairs(units: DataFrame, bucket: int) -> DataFrame:
+    """Pairs of units (id, h, at, key, label) that share a key and differ in label: each with the first one of each earlier text in groups of at most bucket units, in larger ones with the first of the group."""
+    return _pairs_of_groups(sized_groups(units), bucket)
+
+
+def _pairs_of_groups(sized: DataFrame, bucket: int) -> DataFrame:
+    units = sized.where("several")
+    each = every_pair(units.where(F.col("n") <= bucket).drop("n", "several"))
+    return each.union(unlinked_first_pairs(units.where(F.col("n") > bucket).drop("n", "several")))
 
 
 def grams_at(docs: DataFrame, places: DataFrame, before: range, width: int) -> DataFrame:
@@ -277,7 +287,7 @@ def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def pairs_in_blocks(units: DataFrame, similarity: float, least: int) -> DataFrame:
-    """Pairs of units (id, h, at, key, label, around, others) that share a key, differ in label and may_repeat() one another: the later text's place with the earlier one's. Others do not become rows.
+    """Pairs of units (id, h, at, key, label, around, others, n if known) that share a key, differ in label and may_repeat() one another: the later text's place with the earlier one's. Others do not become rows.
 
     others are all keys of the place: a pair becomes a row under the least key that both have.
     """
@@ -336,8 +346,8 @@ def together(docs: DataFrame, crowded: DataFrame, run: int, reach: int, similari
     both = docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInPandas(found, "id long, h long, at int, key long, label long, around array<long>, others array<long>")
     both = written(both, "together")
     sizes = both.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    sized = both.join(sizes.where("low != high").select("key", "n"), "key")
-    return every_pair(sized.where(F.col("n") <= few).drop("n", "around", "others")).union(pairs_in_blocks(sized.where(F.col("n") > few).drop("n"), similarity, least))
+    sized = written(both.join(sizes.where("low != high").select("key", "n"), "key"), "sized")
+    return every_pair(sized.where(F.col("n") <= few).drop("n", "around", "others")).union(pairs_in_blocks(sized.where(F.col("n") > few), similarity, least))
 
 
 def further_pairs(docs: DataFrame, rest: DataFrame, run: int, least: int, bucket: int = BUCKET) -> DataFrame:
@@ -348,12 +358,10 @@ def further_pairs(docs: DataFrame, rest: DataFrame, run: int, least: int, bucket
     """
     half = -(-(run - WINDOW) // 2)
     wide = written(grams_at(docs, rest, range(0, half + 1, half), WINDOW + half), "wide")
-    sizes = wide.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("other"))
-    sizes = sizes.select("key", "n", ((F.col("one") != F.col("other")) & (F.col("n") > bucket)).alias("split"))
-    sizes = written(sizes.where(F.col("split") | (F.col("n") > LEAST_HUB)), "large")
-    crowded = written(_with_first(wide, sizes, F.col("split"), "n").drop("n"), "crowded")
+    sized = sized_groups(wide)
+    crowded = sized.where(F.col("n") > bucket).drop("n", "several")
     long = written(grams_at(docs, crowded, range(-half, run), least), "long")
-    return grouped_pairs(wide, bucket).union(unlinked_first_pairs(long)).union(together(docs, crowded, run, least + 2 * WINDOW)).distinct()
+    return _pairs_of_groups(sized, bucket).union(unlinked_first_pairs(long)).union(together(docs, crowded, run, least + 2 * WINDOW)).distinct()
 
 
 def candidate_runs(pairs: DataFrame) -> DataFrame:
@@ -503,8 +511,8 @@ def repeated_runs(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     copies = written(whole_copies(rows.where("words is not null").select("id", "h", "words")), "copies")
     units = rows.where("words is null").select("id", "h", "at", "key")
     units = written(units.join(copies.select("id", "h").distinct(), ["id", "h"], "left_anti"), "units")
-    pairs = written(first_pairs(units), "pairs")
-    found = written(verified_runs(docs, written(candidate_runs(pairs), "runs"), similarity, least), "verified")
+    runs = written(candidate_runs(first_pairs(units)), "runs")
+    found = written(verified_runs(docs, runs, similarity, least), "verified")
     rest = written(unlinked_units(units, found), "rest")
     runs = written(candidate_runs(further_pairs(docs, rest, run, least)), "runs")
     whole = copies.select("id", "h", F.lit(0).alias("s"), F.col("words").alias("e"), "rid", F.col("h").alias("rh"), F.lit(0).alias("rs"), F.col("words").alias("re"), F.lit(1.0).alias("similarity"))

@@ -300,7 +300,7 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
 
 
 def possible_in_blocks(rows: DataFrame, longs: int, most: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, label, own, facts: n, longs of fingerprint and filled_slots()) that share a key, which one of them owns, and differ in label and in most bits or fewer, without those that cannot be alike(). Others do not become rows."""
+    """Pairs (a, b) of rows (key, n of the key, id, label, own, facts: n, longs of fingerprint and filled_slots()) that share a key, which one of them owns, and differ in label and in most bits or fewer, without those that cannot be alike(). Others do not become rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -412,11 +412,11 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
     crowded = written(keys.where("own").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "crowded")
     tried = links = used = None
     if not crowded.isEmpty():
-        busy = keys.join(crowded, "key")
-        rank = busy.where("own").groupBy("id").agg(F.sum("n").alias("rank"))
-        busy = written(busy.drop("n").join(rank, "id", "left"), "busy")
+        busy = written(keys.join(crowded, "key"), "busy")
+        rank = written(busy.where("own").groupBy("id").agg(F.sum("n").alias("rank")), "rank")
+        busy = busy.drop("n")
         for turn in range(turns):
-            rows = written(labelled(busy, links), "labelled")
+            rows = written(labelled(busy.join(rank, "id", "left"), links), "labelled")
             mine = rows.where("own")
             if used is not None:
                 mine = mine.join(labelled(used, links).select("key", "label").distinct(), ["key", "label"], "left_anti")
@@ -437,8 +437,8 @@ def near_links(nodes: DataFrame, longs: int, parts: list[Partition], most: int,
     if tried is not None:
         # A crowded bucket's rows meet in blocks, with all that refutes a pair, so of the pairs that cannot be near copies no row is made.
         large = written(labelled(busy, links).select("key", "id", "label", "own"), "crowded-labels")
-        split = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        large = written(large.join(split, "key").select("key", "id", "label", "own"), "large")
+        split = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low != high").select("key", "n")
+        large = written(large.join(split, "key").select("key", "n", "id", "label", "own"), "large")
         ids = large.select("id").distinct()
         facts = written(filled_slots(texts.join(ids, "id", "left_semi"), width).join(nodes.select("id", *every), "id"), "facts")
         large = large.join(facts.select("id", F.array(F.col("n").cast("long"), *every, *[c for c in facts.columns if c[0] == "s"]).alias("facts")), "id")

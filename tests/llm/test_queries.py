@@ -457,3 +457,20 @@ def test_places_that_cannot_repeat_make_no_rows(spark):
     units = spark.createDataFrame(rows, "id long, h long, at int, key long, label long, around array<long>, others array<long>")
     got = [(r.id, r.rid) for r in passages.pairs_in_blocks(units, 0.8, 50).collect()]
     assert {(60, 7), (62, 61)} <= set(got) and len(got) == len(set(got)) < 300
+
+
+def test_blocks_take_counts_that_are_there(spark, monkeypatch):
+    """Rows that come with the size of their group are not joined with it again, and meet as they do without it."""
+    plans, plain = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df, name))[1])
+    rows = spark.createDataFrame([(k, i, 10 * i, 40) for k in (1, 2) for i in range(40)], "key long, id long, label long, n long")
+    got = [sorted((r.key, min(i, j), max(i, j)) for r in common.block_pairs(df, 8, "id", "label").collect() for i in r.aid for j in r.bid) for df in (rows, rows.drop("n"))]
+    assert got[0] == got[1] and {x for x in got[0] if x[1] < x[2]} == {(k, i, j) for k in (1, 2) for j in range(40) for i in range(j)}
+    assert "Join" not in plans[0]
+
+
+def test_groups_are_sized_once(spark, monkeypatch):
+    """Pairs of groups read a written table: what puts a size beside each unit does not run again for every use."""
+    units = spark.createDataFrame([(i, 0, 5, i % 7, i) for i in range(70)], "id long, h long, at int, key long, label long")
+    got = passages.grouped_pairs(units, 8)
+    assert got.count() == 63 and got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4
