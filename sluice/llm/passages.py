@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, settled, table, unused, written
+from .common import block_pairs, connected_components, drop_scratch, settled, table, unused, written
 
 #: Words of an anchor: a hash of so many words that is the least of its neighbourhood.
 WINDOW = 8
@@ -179,6 +179,7 @@ def unlinked_first_pairs(units: DataFrame) -> DataFrame:
     return _with_first(units, first, F.col("split"), "rid", "rh", "rat", "rlabel").where("(id != rid or h != rh) and label != rlabel").select("id", "h", "at", "rid", "rh", "rat")
 
 
+@settled("rest")
 def unlinked_units(units: DataFrame, found: DataFrame) -> DataFrame:
     """id, h, at, key and label of the units of those keys of which, the first's text left out (every unit has met it), some have different labels.
 
@@ -347,9 +348,11 @@ def together(docs: DataFrame, crowded: DataFrame, run: int, reach: int, similari
     both = written(both, "together")
     sizes = both.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     sized = written(both.join(sizes.where("low != high").select("key", "n"), "key"), "sized")
+    drop_scratch(both)
     return every_pair(sized.where(F.col("n") <= few).drop("n", "around", "others")).union(pairs_in_blocks(sized.where(F.col("n") > few), similarity, least))
 
 
+@settled("further")
 def further_pairs(docs: DataFrame, rest: DataFrame, run: int, least: int, bucket: int = BUCKET) -> DataFrame:
     """Pairs for rest, unlinked_units(), which are not linked to one another over their words.
 
@@ -359,6 +362,7 @@ def further_pairs(docs: DataFrame, rest: DataFrame, run: int, least: int, bucket
     half = -(-(run - WINDOW) // 2)
     wide = written(grams_at(docs, rest, range(0, half + 1, half), WINDOW + half), "wide")
     sized = sized_groups(wide)
+    drop_scratch(wide)
     crowded = sized.where(F.col("n") > bucket).drop("n", "several")
     long = written(grams_at(docs, crowded, range(-half, run), least), "long")
     return _pairs_of_groups(sized, bucket).union(unlinked_first_pairs(long)).union(together(docs, crowded, run, least + 2 * WINDOW)).distinct()
@@ -481,6 +485,7 @@ def matched_runs(a: list[str], b: list[str], blocks: list[tuple[int, int, int]],
     return out
 
 
+@settled("verified")
 def verified_runs(docs: DataFrame, runs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
     """The stretches in and around runs (chains of matched anchors) of least words or more and of that exact Jaccard similarity: whole chains, or the parts of a chain that are alike."""
     member, first = runs.select("id", "h", "s", "e"), runs.select(F.col("rid").alias("id"), F.col("rh").alias("h"), F.col("rs").alias("s"), F.col("re").alias("e"))
@@ -511,12 +516,15 @@ def repeated_runs(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     copies = written(whole_copies(rows.where("words is not null").select("id", "h", "words")), "copies")
     units = rows.where("words is null").select("id", "h", "at", "key")
     units = written(units.join(copies.select("id", "h").distinct(), ["id", "h"], "left_anti"), "units")
+    drop_scratch(rows)
     runs = written(candidate_runs(first_pairs(units)), "runs")
-    found = written(verified_runs(docs, runs, similarity, least), "verified")
-    rest = written(unlinked_units(units, found), "rest")
+    found = verified_runs(docs, runs, similarity, least)
+    drop_scratch(runs)
+    rest = unlinked_units(units, found)
+    drop_scratch(units)
     runs = written(candidate_runs(further_pairs(docs, rest, run, least)), "runs")
     whole = copies.select("id", "h", F.lit(0).alias("s"), F.col("words").alias("e"), "rid", F.col("h").alias("rh"), F.lit(0).alias("rs"), F.col("words").alias("re"), F.lit(1.0).alias("similarity"))
-    return found.union(written(verified_runs(docs, runs, similarity, least), "verified")).distinct().union(whole)
+    return found.union(verified_runs(docs, runs, similarity, least)).distinct().union(whole)
 
 
 _MERGED = "id long, h long, s int, e int, start int, end int"

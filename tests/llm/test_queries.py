@@ -474,3 +474,16 @@ def test_groups_are_sized_once(spark, monkeypatch):
     units = spark.createDataFrame([(i, 0, 5, i % 7, i) for i in range(70)], "id long, h long, at int, key long, label long")
     got = passages.grouped_pairs(units, 8)
     assert got.count() == 63 and got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4
+
+
+def test_what_was_shuffled_for_a_written_table_goes_at_once(spark):
+    """No shuffle file is left when a table is written, and the session's setting is as it was."""
+    local = spark.sparkContext.getConf().get("spark.local.dir")
+    files = lambda: {os.path.join(d, x) for d, _, found in os.walk(local) for x in found if x.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(common.CLEANUP, None)
+    table = common.written(spark.range(10_000).repartition(5, "id"), "dealt")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(common.CLEANUP, None) == setting
+    assert table.count() == 10_000
