@@ -8,15 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import block_pairs, connected_components, drop_scratch, settled, table, unused, written
+from .passage_runs import SHINGLE, PairedTexts
+from .passage_runs import grams as _grams
+from .passage_runs import mixed as _mixed
+from .word_hashes import chunks, hashes_of, ranges, split_words
 
 #: Words of an anchor: a hash of so many words that is the least of its neighbourhood.
 WINDOW = 8
-SHINGLE = 5
 LEAST = 50
 SIMILARITY = 0.8
 CACHE = 200_000
@@ -28,8 +33,8 @@ AROUND, DRIFT = 104, 8
 #: A key is a hub if it has over LEAST_HUB units and over one part in MOST_HUBS of all: so there are fewer hubs than MOST_HUBS.
 LEAST_HUB = 1_000
 MOST_HUBS = 10_000
-#: Words of either text that an edit may take: replaced, inserted or left out.
-EDITS = ((1, 1), (0, 1), (1, 0), (2, 2), (0, 2), (2, 0), (1, 2), (2, 1))
+#: Bytes of stretches that are verified at once.
+VERIFIED = 1 << 24
 _WORD = re.compile(r"\S+")
 
 
@@ -44,18 +49,25 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def _lower(texts: pa.Array) -> list[bytes]:
+    return [text.lower().encode("utf-8", "surrogatepass") for text in texts.to_pylist()]
 
 
-def _grams(h: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of width words."""
-    n = len(h) - width + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    return _mixed(out)
+def _rows(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
+
+
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(values))
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists, and the list that each is of."""
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+
+
+def _fields(structs: pa.Array, *names: str) -> list[np.ndarray]:
+    return [structs.field(name).to_numpy() for name in names]
 
 
 def equal_words(similarity: float = SIMILARITY, least: int = LEAST) -> int:
@@ -80,9 +92,16 @@ def anchors_of(words: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
     Whether words are an anchor is told by run words around them at most, so every stretch of run equal words has the same anchor in both texts, whatever stands
     around it and however often it repeats; of random words, one in (run - WINDOW + 2) / 2 is one.
     """
-    if len(words) < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return anchored(h, np.array([0, len(h)]), run)
+
+
+def anchored(h: np.ndarray, bound: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """anchors_of() of texts that follow each other, by the hashes of their words; bound: the first word of each, and how many there are."""
+    if len(h) < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = np.diff(bound)
+    end, size = np.repeat(bound[1:], size), np.repeat(size, size)
     g = _grams(h, WINDOW)
     wide = run - WINDOW + 1
 
@@ -95,8 +114,10 @@ def anchors_of(words: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
         return x
 
     low = over(g, np.minimum)
+    low[np.arange(run, len(h) + 1) > end[: len(low)]] = 0
     edge = np.zeros(wide - 1, np.uint64)
     first = np.nonzero(over(np.concatenate([edge, low, edge]), np.maximum) == g)[0]
+    first = first[(first + WINDOW <= end[first]) & (size[first] >= run)]
     return first, g[first].view(np.int64)
 
 
@@ -108,24 +129,21 @@ def _identified(docs: DataFrame) -> DataFrame:
 def anchors(docs: DataFrame, run: int, least: int) -> DataFrame:
     """id, h, at (the anchor's first word), key and words (null) of each anchor of the texts of least words or more, and of each such text a row with words, how many it has, alone."""
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hs, ats, keys, long = [], [], [], [], []
-            for i, h, text in zip(batch["id"], batch["h"], batch["text"], strict=True):
-                words = text.split()
-                if len(words) >= least:
-                    at, key = anchors_of(words, run)
-                    keys.append(key)
-                    ats.append(at)
-                    ids.append(np.full(len(key), i, np.int64))
-                    hs.append(np.full(len(key), h, np.int64))
-                    long.append((i, h, len(words)))
-            if keys:
-                yield pd.DataFrame({"id": np.concatenate(ids), "h": np.concatenate(hs), "at": np.concatenate(ats), "key": np.concatenate(keys), "words": None}).astype({"at": "Int32", "words": "Int32"})
-                yield pd.DataFrame(long, columns=["id", "h", "words"]).assign(at=None, key=None).astype({"at": "Int32", "key": "Int64", "words": "Int32"})
-        _hashes.clear()
-
-    return docs.select("doc.id", "doc.h", "text").mapInPandas(found, "id long, h long, at int, key long, words int")
+            raw, ids, hs = _lower(batch.column("text")), batch.column("id").to_numpy(), batch.column("h").to_numpy()
+            for a, b in chunks(raw):
+                data, start, end, bound = split_words(raw[a:b])
+                size = np.diff(bound)
+                long = np.flatnonzero(size >= least)
+                at, key = anchored(hashes_of(data, start, end), bound, run)
+                text = np.searchsorted(bound, at, "right") - 1
+                keep = size[text] >= least
+                at, key, text = at[keep], key[keep], text[keep]
+                yield _rows(id=ids[a + text], h=hs[a + text], at=(at - bound[text]).astype(np.int32), key=key, words=pa.nulls(len(at), pa.int32()))
+                yield _rows(id=ids[a + long], h=hs[a + long], at=pa.nulls(len(long), pa.int32()), key=pa.nulls(len(long), pa.int64()), words=size[long].astype(np.int32))
+
+    return docs.select("doc.id", "doc.h", "text").mapInArrow(found, "id long, h long, at int, key long, words int")
 
 
 def whole_copies(texts: DataFrame) -> DataFrame:
@@ -134,26 +152,26 @@ def whole_copies(texts: DataFrame) -> DataFrame:
     return texts.join(first, ["h", "words"]).where("id > rid").select("id", "h", "words", "rid").distinct()
 
 
-def _chains(found: list, gap: int = 64, drift: int = DRIFT) -> list[tuple]:
-    """Runs (start, end, other doc, its start, its end, matches) of matched anchors that follow each other in both texts. They may hold several passages: matched_runs() tells them apart."""
-    by_doc: dict[tuple, list] = {}
-    for m in found:
-        by_doc.setdefault((m["rid"], m["rh"]), []).append((m["at"], m["rat"]))
-    out = []
-    for other, pairs in by_doc.items():
-        every, near = [], []  # all runs; those that end within gap, so that an anchor may still join them
-        for at, rat in sorted(set(pairs)):
-            near = [run for run in near if at - run[1] <= gap]
-            for run in reversed(near):
-                if abs((at - rat) - (run[1] - run[3])) <= drift and 0 <= at - run[1] <= gap and rat >= run[3]:
-                    run[1], run[3] = at, rat
-                    run[4].append((at, rat))
-                    break
-            else:
-                every.append([at, at, rat, rat, [(at, rat)]])
-                near.append(every[-1])
-        out += [(a, b + WINDOW, *other, c, d + WINDOW, pairs) for a, b, c, d, pairs in every]
-    return out
+def _chains(pairs: list[tuple], gap: int = 64, drift: int = DRIFT) -> list[list]:
+    """Runs [start, end, its start, its end in the other text, matches] of matched anchors (pairs, in order) that follow each other in both texts. They may hold several passages: matched() tells them apart."""
+    every, near = [], []  # all runs; those that end within gap, so that an anchor may still join them
+    for at, rat in pairs:
+        near = [run for run in near if at - run[1] <= gap]
+        for run in reversed(near):
+            if abs((at - rat) - (run[1] - run[3])) <= drift and 0 <= at - run[1] <= gap and rat >= run[3]:
+                run[1], run[3] = at, rat
+                run[4] += (at, rat)
+                break
+        else:
+            every.append([at, at, rat, rat, [at, rat]])
+            near.append(every[-1])
+    return every
+
+
+def shared_units(units: DataFrame) -> DataFrame:
+    """Those of units (id, h, at, key) whose key a text that differs has too. Most keys are one text's alone, or that of whole_copies()."""
+    keys = units.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("key")
+    return units.join(keys, "key").select(units.columns)
 
 
 def _with_first(units: DataFrame, first: DataFrame, wanted: Column, *columns: str) -> DataFrame:
@@ -166,28 +184,27 @@ def _with_first(units: DataFrame, first: DataFrame, wanted: Column, *columns: st
     return told.where("of.wanted").select(*units.columns, *[F.col(f"of.{c}").alias(c) for c in columns]).unionByName(calm.select(*units.columns, *columns))
 
 
-def first_pairs(units: DataFrame) -> DataFrame:
-    """Each of units (id, h, at, key) with the first of its key (smallest document, then place), if that is another text's."""
-    first = units.groupBy("key").agg(F.min(F.struct("id", "h", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("first.id").alias("rid"), F.col("first.h").alias("rh"), F.col("first.at").alias("rat"))
-    return _with_first(units, first, F.lit(True), "rid", "rh", "rat").where("id != rid or h != rh")
+def with_firsts(units: DataFrame) -> DataFrame:
+    """Each of units (id, h, at, key) with the first of its key (rid, rh, rat: smallest document, then place), if that is another text's."""
+    first = units.groupBy("key").agg(F.min(F.struct("id", "h", "at")).alias("first"), F.max(F.struct("id", "h")).alias("high"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("key", "n", F.col("first.id").alias("rid"), F.col("first.h").alias("rh"), F.col("first.at").alias("rat"), ((F.col("first.id") != F.col("high.id")) | (F.col("first.h") != F.col("high.h"))).alias("several"))
+    return _with_first(units, first, F.col("several"), "rid", "rh", "rat").where("id != rid or h != rh")
 
 
 def unlinked_first_pairs(units: DataFrame) -> DataFrame:
-    """first_pairs() of units that have label too, where the two labels differ: two that are linked to one text over these words need no further pair."""
+    """Each of units (id, h, at, key, label) with the first of its key, if that is another text's, where the two labels differ: two that are linked to one text over these words need no further pair."""
     first = units.groupBy("key").agg(F.min(F.struct("id", "h", "at", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
     first = first.select("key", "n", (F.col("low") != F.col("high")).alias("split"), F.col("first.id").alias("rid"), F.col("first.h").alias("rh"), F.col("first.at").alias("rat"), F.col("first.label").alias("rlabel"))
     return _with_first(units, first, F.col("split"), "rid", "rh", "rat", "rlabel").where("(id != rid or h != rh) and label != rlabel").select("id", "h", "at", "rid", "rh", "rat")
 
 
 @settled("rest")
-def unlinked_units(units: DataFrame, found: DataFrame) -> DataFrame:
-    """id, h, at, key and label of the units of those keys of which, the first's text left out (every unit has met it), some have different labels.
+def unlinked_units(own: DataFrame, found: DataFrame) -> DataFrame:
+    """id, h, at, key and label of those of own (with_firsts(): the first's text is left out, every unit has met it) whose key has different labels.
 
     A label stands for the earliest text, or the unit's own, that a found run over the unit's words links it to. So units of one label share those words by a path of links. Runs over other words do not count.
     """
     doc = F.struct("id", "h")
-    first = units.groupBy("key").agg(F.min(doc).alias("first"), F.max(doc).alias("high"), F.count("*").alias("n"))
-    own = _with_first(units, first, F.col("first") != F.col("high"), "first").where(F.col("first") != doc).drop("first")
     spans = found.groupBy("id", "h").agg(F.collect_set(F.struct("s", "e", F.col("rid").alias("id"), F.col("rh").alias("h"))).alias("spans"))
     covering = F.filter("spans", lambda x: (x["s"] <= F.col("at")) & (F.col("at") + WINDOW <= x["e"]))
     earliest = F.array_min(F.transform(covering, lambda x: F.struct(x["id"].alias("id"), x["h"].alias("h"))))
@@ -228,23 +245,25 @@ def _pairs_of_groups(sized: DataFrame, bucket: int) -> DataFrame:
 def grams_at(docs: DataFrame, places: DataFrame, before: range, width: int) -> DataFrame:
     """id, h, at, key, label: a key of the width words that begin at each number in before words before a place of places (id, h, at, label), where the text has them."""
     lists = places.groupBy("id", "h").agg(F.collect_set(F.struct("at", "label")).alias("places"))
+    back = np.array(before)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for i, h, text, places in zip(batch["id"], batch["h"], batch["text"], batch["places"], strict=True):
-                words = text.split()
-                if len(words) < width:
-                    continue
-                keys = _grams(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), width).view(np.int64)
-                wanted = {(at, place["label"]) for place in places for at in (place["at"] - x for x in before) if 0 <= at < len(keys)}
-                at, label = np.array(sorted(wanted), np.int64).reshape(-1, 2).T
-                parts.append(pd.DataFrame({"id": i, "h": h, "at": at.astype(np.int32), "key": keys[at], "label": label}))
-            if parts:
-                yield pd.concat(parts)
-        _hashes.clear()
-
-    return docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInPandas(run, "id long, h long, at int, key long, label long")
+            raw, ids, hs = _lower(batch.column("text")), batch.column("id").to_numpy(), batch.column("h").to_numpy()
+            for a, b in chunks(raw):
+                data, start, end, bound = split_words(raw[a:b])
+                keys = _grams(hashes_of(data, start, end), width).view(np.int64)
+                places, text = _flat(batch.column("places").slice(a, b - a))
+                at, label = _fields(places, "at", "label")
+                labels, number = np.unique(label, return_inverse=True)
+                to = bound[text][:, None] + at[:, None] - back
+                there = (to >= bound[text][:, None]) & (to + width <= bound[text + 1][:, None])
+                wanted = np.unique((to * len(labels) + number[:, None])[there])
+                to, label = wanted // max(len(labels), 1), labels[wanted % max(len(labels), 1)]
+                text = np.searchsorted(bound, to, "right") - 1
+                yield _rows(id=ids[a + text], h=hs[a + text], at=(to - bound[text]).astype(np.int32), key=keys[to], label=label)
+
+    return docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInArrow(run, "id long, h long, at int, key long, label long")
 
 
 def may_repeat(x: np.ndarray, y: np.ndarray, similarity: float, least: int) -> np.ndarray:
@@ -298,15 +317,21 @@ def pairs_in_blocks(units: DataFrame, similarity: float, least: int) -> DataFram
         for batch in batches:
             some = [np.zeros((0, 6), np.int64)]
             for r in batch.itertuples(index=False):
-                i, j = np.nonzero((r.alabel[:, None] != r.blabel) & ((r.aid[:, None] != r.bid) | (r.ah[:, None] != r.bh)))
+                apart = (r.alabel[:, None] != r.blabel) & ((r.aid[:, None] != r.bid) | (r.ah[:, None] != r.bh))
+                if all(np.array_equal(*sides) for sides in ((r.aid, r.bid), (r.ah, r.bh), (r.aat, r.bat))):
+                    apart = np.triu(apart)
+                # Pairs that have a lesser key in common meet under it.
+                lesser = np.concatenate([r.aothers, r.bothers])
+                place = np.repeat(np.arange(len(r.aid) + len(r.bid)), np.concatenate([r.amany, r.bmany]))[lesser < r.key]
+                known, number = np.unique(lesser[lesser < r.key], return_inverse=True)
+                has = np.zeros((len(r.aid) + len(r.bid), len(known)), np.float32)
+                has[place, number] = 1
+                i, j = np.nonzero(apart & (has[: len(r.aid)] @ has[len(r.aid) :].T == 0))
                 x, y = r.aaround.view(np.uint8).reshape(len(r.aid), -1), r.baround.view(np.uint8).reshape(len(r.bid), -1)
-                ours, theirs = ([set(v.tolist()) for v in np.split(keys, np.cumsum(many)[:-1])] for keys, many in ((r.aothers, r.amany), (r.bothers, r.bmany)))
                 for k in range(0, len(i), 1024):
                     p, q = i[k : k + 1024], j[k : k + 1024]
                     may = may_repeat(x[p], y[q], similarity, least)
                     p, q = p[may], q[may]
-                    one = np.array([min(ours[v] & theirs[w]) == r.key for v, w in zip(p.tolist(), q.tolist(), strict=True)], bool)
-                    p, q = p[one], q[one]
                     one, two = (np.stack([v.astype(np.int64) for v in side], 1) for side in ((r.aid[p], r.ah[p], r.aat[p]), (r.bid[q], r.bh[q], r.bat[q])))
                     later = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
                     some.append(np.where(later[:, None], np.concatenate([one, two], 1), np.concatenate([two, one], 1)))
@@ -322,29 +347,44 @@ def together(docs: DataFrame, crowded: DataFrame, run: int, reach: int, similari
     """
     lists = crowded.groupBy("id", "h").agg(F.collect_set(F.struct("at", "key", "label")).alias("places"))
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, h, text, places in zip(batch["id"], batch["h"], batch["text"], batch["places"], strict=True):
-                words = text.split()
-                anchors, beside = anchors_of(words, run)
-                grams = _grams(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), SHINGLE)
-                padded = np.concatenate([np.zeros(AROUND, np.uint8), (grams % np.uint64(255) + np.uint64(1)).astype(np.uint8), np.zeros(AROUND + SHINGLE, np.uint8)])
-                ats, keys, labels = [], [], []
-                for place in sorted(places, key=lambda x: x["at"]):
-                    low, high = np.searchsorted(anchors, (place["at"] - reach, place["at"] + reach + 1))
-                    near = beside[low:high][np.abs(anchors[low:high] - place["at"]) >= WINDOW].view(np.uint64)
-                    keys.append(_mixed(near * np.uint64(0x9E3779B97F4A7C15) + np.array(place["key"], np.int64).view(np.uint64)))
-                    ats.append(np.full(len(near), place["at"], np.int32))
-                    labels.append(np.full(len(near), place["label"], np.int64))
-                keys, first = np.unique(np.concatenate(keys), return_index=True)
-                at = np.concatenate(ats)[first]
-                around = [padded[s : s + 2 * AROUND].view(np.int64) for s in at.tolist()]
-                keys = keys.view(np.int64)
-                own = {s: keys[at == s] for s in set(at.tolist())}
-                yield pd.DataFrame({"id": i, "h": h, "at": at, "key": keys, "label": np.concatenate(labels)[first], "around": around, "others": [own[s] for s in at.tolist()]})
-        _hashes.clear()
-
-    both = docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInPandas(found, "id long, h long, at int, key long, label long, around array<long>, others array<long>")
+            raw, ids, hs = _lower(batch.column("text")), batch.column("id").to_numpy(), batch.column("h").to_numpy()
+            for a, b in chunks(raw):
+                data, start, end, bound = split_words(raw[a:b])
+                hashes = hashes_of(data, start, end)
+                anchors, beside = anchored(hashes, bound, run)
+                places, text = _flat(batch.column("places").slice(a, b - a))
+                at, key, label = _fields(places, "at", "key", "label")
+                here = bound[text] + at
+                near, of = ranges(*(np.searchsorted(anchors, (np.maximum(here - reach, bound[text]), np.minimum(here + reach + 1, bound[text + 1])))))
+                apart = np.abs(anchors[near] - here[of]) >= WINDOW
+                near, of = near[apart], of[apart]
+                keys = _mixed(beside[near].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key[of].view(np.uint64))
+                # Of each key the first place in each text; then the keys of each place together.
+                order = np.lexsort((here[of], keys, text[of]))
+                keys, of = keys[order], of[order]
+                first = np.ones(len(of), bool)
+                first[1:] = (keys[1:] != keys[:-1]) | (text[of[1:]] != text[of[:-1]])
+                keys, of = keys[first], of[first]
+                order = np.argsort(here[of], kind="stable")
+                keys, of = keys[order].view(np.int64), of[order]
+                spot, start, many = np.unique(here[of], return_index=True, return_counts=True)
+                spot_of = np.repeat(np.arange(len(spot)), many)
+                others = keys[ranges(start[spot_of], (start + many)[spot_of])[0]]
+                # Bytes of the shingles, with none between texts.
+                shingles = _grams(hashes, SHINGLE)
+                inside = np.flatnonzero(np.arange(SHINGLE, len(hashes) + 1) <= np.repeat(bound[1:], np.diff(bound))[: len(shingles)])
+                padded = np.zeros(len(hashes) + 2 * AROUND * (b - a + 1), np.uint8)
+                padded[inside + 2 * AROUND * np.searchsorted(bound, inside, "right")] = shingles[inside] % np.uint64(255) + np.uint64(1)
+                low = here[of] + 2 * AROUND * (text[of] + 1) - AROUND
+                around = padded[low[:, None] + np.arange(2 * AROUND)].view(np.int64)
+                yield _rows(
+                    id=ids[a + text[of]], h=hs[a + text[of]], at=at[of], key=keys, label=label[of],
+                    around=_lists(around.ravel(), np.full(len(of), around.shape[1])), others=_lists(others, many[spot_of]),
+                )
+
+    both = docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInArrow(found, "id long, h long, at int, key long, label long, around array<long>, others array<long>")
     both = written(both, "together")
     sizes = both.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     sized = written(both.join(sizes.where("low != high").select("key", "n"), "key"), "sized")
@@ -370,119 +410,57 @@ def further_pairs(docs: DataFrame, rest: DataFrame, run: int, least: int, bucket
 
 def candidate_runs(pairs: DataFrame) -> DataFrame:
     """Runs of anchors that another text has too, from pairs (id, h, at, rid, rh, rat)."""
-    columns = ["id", "h", "s", "e", "rid", "rh", "rs", "re", "pairs"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, h, *c[:-1], [x for pair in c[-1] for x in pair]) for i, h, found in zip(batch["id"], batch["h"], batch["found"], strict=True) for c in _chains(found)]
-            yield pd.DataFrame(rows, columns=columns)
+            ids, hs = batch.column("id").to_numpy(), batch.column("h").to_numpy()
+            pairs, text = _flat(batch.column("found"))
+            at, rid, rh, rat = _fields(pairs, "at", "rid", "rh", "rat")
+            order = np.lexsort((rat, at, rh, rid, text))
+            at, rid, rh, rat, text = at[order], rid[order], rh[order], rat[order], text[order]
+            other = np.ones(len(at), bool)
+            other[1:] = (text[1:] != text[:-1]) | (rid[1:] != rid[:-1]) | (rh[1:] != rh[:-1])
+            new = other.copy()
+            new[1:] |= (at[1:] != at[:-1]) | (rat[1:] != rat[:-1])
+            at, rid, rh, rat, text, first = at[new], rid[new], rh[new], rat[new], text[new], np.flatnonzero(other[new])
+            matches, runs, of = list(zip(at.tolist(), rat.tolist(), strict=True)), [], []
+            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+                found = _chains(matches[low:high])
+                runs += found
+                of += [low] * len(found)
+            of, size = np.array(of, np.int64), np.array([len(x[4]) for x in runs], np.int64)
+            ends = np.array([x[:4] for x in runs], np.int32).reshape(-1, 4)
+            yield _rows(
+                id=ids[text[of]], h=hs[text[of]], s=ends[:, 0].copy(), e=ends[:, 1] + np.int32(WINDOW), rid=rid[of], rh=rh[of], rs=ends[:, 2].copy(), re=ends[:, 3] + np.int32(WINDOW),
+                pairs=_lists(np.array([x for r in runs for x in r[4]], np.int32), size),
+            )
 
     # Bounded by the anchors of one text.
     grouped = pairs.groupBy("id", "h").agg(F.collect_list(F.struct("at", "rid", "rh", "rat")).alias("found"))
-    return grouped.mapInPandas(run, "id long, h long, s int, e int, rid long, rh long, rs int, re int, pairs array<int>")
+    return grouped.mapInArrow(run, "id long, h long, s int, e int, rid long, rh long, rs int, re int, pairs array<int>")
 
 
 def _stretches(docs: DataFrame, wanted: DataFrame, pad: int) -> DataFrame:
-    """For the distinct wanted (id, h, s, e): the words from pad before s to pad after e, and how many come before s."""
+    """For the distinct wanted (id, h, s, e): the words from pad before s to pad after e, and how many come before s. docs has a row for each text."""
     lists = wanted.distinct().groupBy("id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, h, text, spans in zip(batch["id"], batch["h"], batch["text"], batch["spans"], strict=True):
-                words, rows = text.lower().split(), []
-                for span in spans:
-                    s, e = span["s"], span["e"]
-                    lead = min(pad, s)
-                    rows.append((i, h, s, e, lead, " ".join(words[s - lead : e + pad])))
-                yield pd.DataFrame(rows, columns=["id", "h", "s", "e", "lead", "words"])
-
-    found = docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInPandas(run, "id long, h long, s int, e int, lead int, words string")
-    return found.groupBy("id", "h", "s", "e").agg(F.first("lead").alias("lead"), F.first("words").alias("words"))
-
-
-def _alike(x: list[str], y: list[str]) -> float:
-    """Jaccard similarity of the shingles of two stretches."""
-    p, q = (set(zip(*(w[k:] for k in range(SHINGLE)), strict=False)) for w in (x, y))
-    return len(p & q) / max(len(p | q), 1)
-
-
-class Diagonals:
-    """Runs of equal words of two texts at each offset (place in a less place in b), found once for an offset."""
-
-    def __init__(self, a: list[str], b: list[str]):
-        self.a, self.b, known = a, b, {}
-        self.ids = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words in (a, b)]
-        self.found: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-
-    def run(self, i: int, j: int) -> tuple[int, int]:
-        """How many equal words end before a[i] and b[j], and how many begin there."""
-        off = i - j
-        if off not in self.found:
-            x, y = self.ids
-            low, high = max(0, off), min(len(x), len(y) + off)
-            equal, place = x[low:high] == y[low - off : high - off], np.arange(max(high - low, 0))
-            stop = np.minimum.accumulate(np.where(equal, len(place), place)[::-1])[::-1]
-            before = np.maximum.accumulate(np.where(equal, -1, place))
-            self.found[off] = low, np.append(0, place - before), np.append(stop - place, 0)
-        low, before, after = self.found[off]
-        return int(before[i - low]), int(after[i - low])
-
-    def blocks(self, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Maximal (i, j, n), n at least SHINGLE, with a[i : i + n] == b[j : j + n], that hold a seed (place in a, place in b)."""
-        out = set()
-        for i, j in set(seeds):
-            before, after = self.run(i, j)
-            if after and before + after >= SHINGLE:
-                out.add((i - before, j - before, before + after))
-        return sorted(out)
-
-    def bridged(self, blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """blocks and those that edits of a word or two part from them, after them and before, in turn."""
-        found = set(blocks)
-        for block in blocks:
-            for step in (self._after, self._before):
-                at = block
-                while (at := step(*at)) and at not in found:
-                    found.add(at)
-        return sorted(found)
-
-    def _after(self, i: int, j: int, n: int) -> tuple[int, int, int] | None:
-        for x, y in EDITS:
-            s, t = i + n + x, j + n + y
-            if len(equal := self.a[s : s + SHINGLE]) == SHINGLE and equal == self.b[t : t + SHINGLE]:
-                return s, t, self.run(s, t)[1]
-        return None
-
-    def _before(self, i: int, j: int, n: int) -> tuple[int, int, int] | None:
-        for x, y in EDITS:
-            s, t = i - x, j - y
-            if s >= SHINGLE and t >= SHINGLE and self.a[s - SHINGLE : s] == self.b[t - SHINGLE : t]:
-                before = self.run(s, t)[0]
-                return s - before, t - before, before
-        return None
-
-
-def matched_runs(a: list[str], b: list[str], blocks: list[tuple[int, int, int]], similarity: float, least: int) -> list[tuple]:
-    """(start, end, start in b, end in b, similarity) of the longest stretches from one block to the same or a later one that have least words or more in both
-    texts and that similarity by the shingles of their blocks and by all their shingles (exact Jaccard). So a stretch which falls short is split where the texts differ; what lies inside another is left out."""
-    i, j, n = (np.array(x) for x in zip(*blocks, strict=True)) if blocks else (np.zeros(0, int),) * 3
-    ends, upto = np.maximum.accumulate(i + n), np.concatenate([[0], np.cumsum(n - SHINGLE + 1)])
-    out, reach = [], 0
-    for k in range(len(blocks)):
-        if reach >= len(blocks):
-            break
-        first = max(k, reach)
-        low, high = np.minimum.accumulate(j[k:])[first - k :], np.maximum.accumulate((j + n)[k:])[first - k :]
-        words, shared = np.stack([ends[first:] - i[k], high - low]), upto[first + 1 :] - upto[k]
-        near = shared / np.maximum(words.sum(0) - 2 * (SHINGLE - 1) - shared, 1)
-        for m in np.nonzero((words.min(0) >= least) & (near >= similarity))[0][::-1].tolist():
-            s, e, t, f = int(i[k]), int(ends[first + m]), int(low[m]), int(high[m])
-            alike = 1.0 if first + m == k else _alike(a[s:e], b[t:f])
-            if alike >= similarity:
-                out.append((s, e, t, f, alike))
-                reach = first + m + 1
-                break
-    return out
+            raw, ids, hs = _lower(batch.column("text")), batch.column("id").to_numpy(), batch.column("h").to_numpy()
+            for a, b in chunks(raw):
+                data, start, end, bound = split_words(raw[a:b])
+                spans, text = _flat(batch.column("spans").slice(a, b - a))
+                s, e = _fields(spans, "s", "e")
+                lead = np.minimum(s, pad)
+                low, high = start[bound[text] + s - lead], end[np.minimum(bound[text] + e + pad, bound[text + 1]) - 1]
+                whole, size, k = data.tobytes(), 0, 0
+                for m, n in enumerate((high - low).tolist(), 1):
+                    size += n
+                    if size >= VERIFIED or m == len(low):
+                        words = [whole[x:y].decode("utf-8", "surrogatepass") for x, y in zip(low[k:m].tolist(), high[k:m].tolist(), strict=True)]
+                        yield _rows(id=ids[a + text[k:m]], h=hs[a + text[k:m]], s=s[k:m], e=e[k:m], lead=lead[k:m], words=pa.array(words, pa.string()))
+                        size, k = 0, m
+
+    return docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInArrow(run, "id long, h long, s int, e int, lead int, words string")
 
 
 @settled("verified")
@@ -494,18 +472,24 @@ def verified_runs(docs: DataFrame, runs: DataFrame, similarity: float = SIMILARI
     both = runs.join(texts, ["id", "h", "s", "e"]).join(other, ["rid", "rh", "rs", "re"])
     schema = "id long, h long, s int, e int, rid long, rh long, rs int, re int, similarity double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                a, b, at, rat = r.words.split(), r.rwords.split(), r.s - r.lead, r.rs - r.rlead
-                seeds = list(zip((r.pairs[::2] - at).tolist(), (r.pairs[1::2] - rat).tolist(), strict=True))
-                both = Diagonals(a, b)
-                for s, e, t, f, alike in matched_runs(a, b, both.bridged(both.blocks(seeds)), similarity, least):
-                    rows.append((r.id, r.h, at + s, at + e, r.rid, r.rh, rat + t, rat + f, alike))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return both.mapInPandas(run, schema).distinct()
+            mine, theirs = batch.column("words"), batch.column("rwords")
+            size = np.cumsum(pc.binary_length(mine).to_numpy().astype(np.int64) + pc.binary_length(theirs).to_numpy())
+            part = size // VERIFIED
+            for low, high in zip(first := np.flatnonzero(np.append(True, part[1:] != part[:-1])), [*first[1:], len(part)], strict=True):
+                texts = pa.concat_arrays([mine.slice(low, high - low), theirs.slice(low, high - low)]).dictionary_encode()
+                number = texts.indices.to_numpy()
+                both = PairedTexts(texts.dictionary.cast(pa.binary()).to_pylist(), number[: high - low], number[high - low :])
+                pairs, of = _flat(batch.column("pairs").slice(low, high - low))
+                places, of = pairs.to_numpy().astype(np.int64).reshape(-1, 2), of[::2]
+                at, rat = ((batch.column(s).to_numpy() - batch.column(lead).to_numpy())[low:high].astype(np.int64) for s, lead in (("s", "lead"), ("rs", "rlead")))
+                row, s, e, t, f, alike = both.matched(both.bridged(both.blocks(of, places[:, 0] - at[of], places[:, 1] - rat[of])), similarity, least)
+                ids = {c: batch.column(c).to_numpy()[low + row] for c in ("id", "h", "rid", "rh")}
+                s, e, t, f = ((x + y[row]).astype(np.int32) for x, y in ((s, at), (e, at), (t, rat), (f, rat)))
+                yield _rows(id=ids["id"], h=ids["h"], s=s, e=e, rid=ids["rid"], rh=ids["rh"], rs=t, re=f, similarity=alike)
+
+    return both.mapInArrow(run, schema).distinct()
 
 
 @settled("repeats")
@@ -514,14 +498,18 @@ def repeated_runs(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     run = equal_words(similarity, least)
     rows = written(anchors(docs, run, least), "anchors")
     copies = written(whole_copies(rows.where("words is not null").select("id", "h", "words")), "copies")
-    units = rows.where("words is null").select("id", "h", "at", "key")
+    several = rows.where("words is not null").groupBy("id", "h").count().where("count > 1").limit(1).count()
+    docs = docs.dropDuplicates(["doc"]) if several else docs
+    units = shared_units(rows.where("words is null").select("id", "h", "at", "key"))
     units = written(units.join(copies.select("id", "h").distinct(), ["id", "h"], "left_anti"), "units")
     drop_scratch(rows)
-    runs = written(candidate_runs(first_pairs(units)), "runs")
+    met = written(with_firsts(units), "met")
+    drop_scratch(units)
+    runs = written(candidate_runs(met.select("id", "h", "at", "rid", "rh", "rat")), "runs")
     found = verified_runs(docs, runs, similarity, least)
     drop_scratch(runs)
-    rest = unlinked_units(units, found)
-    drop_scratch(units)
+    rest = unlinked_units(met.select("id", "h", "at", "key"), found)
+    drop_scratch(met)
     runs = written(candidate_runs(further_pairs(docs, rest, run, least)), "runs")
     whole = copies.select("id", "h", F.lit(0).alias("s"), F.col("words").alias("e"), "rid", F.col("h").alias("rh"), F.lit(0).alias("rs"), F.col("words").alias("re"), F.lit(1.0).alias("similarity"))
     return found.union(verified_runs(docs, runs, similarity, least)).distinct().union(whole)
