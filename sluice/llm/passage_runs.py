@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .word_hashes import hashes_of, ranges, split_words
+from .word_hashes import numbers_of, ranges, split_words
 
 SHINGLE = 5
 #: Words of either text that an edit may take: replaced, inserted or left out.
@@ -35,7 +35,7 @@ class PairedTexts:
         size = np.diff(bound)
         base = bound[:-1] + _EDGE + _GAP * np.arange(1, len(texts) + 1)
         self.x = np.full(len(start) + 2 * _EDGE + _GAP * (len(texts) + 1), 1, np.uint64)
-        self.x[ranges(base, base + size)[0]] = hashes_of(data, start, end)
+        self.x[ranges(base, base + size)[0]] = numbers_of(data, start, end)
         # What stands between texts is equal nowhere.
         self.y = np.where(self.x == 1, np.uint64(2), self.x)
         self.gx, self.gy = grams(self.x, SHINGLE), grams(self.y, SHINGLE)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -266,6 +267,18 @@ def grams_at(docs: DataFrame, places: DataFrame, before: range, width: int) -> D
     return docs.select("doc.id", "doc.h", "text").join(lists, ["id", "h"]).mapInArrow(run, "id long, h long, at int, key long, label long")
 
 
+def _size(gone: int | np.ndarray, lost: int | np.ndarray, share: float) -> float | np.ndarray:
+    """Shingles at least of a stretch of which so many are gone in the other text, which has so many of its own; see may_repeat()."""
+    return (gone * (1 - share) + share * lost) / (1 - 2 * share)
+
+
+@cache
+def _most_lost(size: int, width: int, share: float) -> np.ndarray:
+    """By how many are gone, one more than may be lost of a stretch of that size."""
+    gone, lost = np.arange(width + 1)[:, None], np.arange(width + 1)
+    return (_size(gone, np.maximum(lost, (SHINGLE - 1) * (gone > 0)), share) <= size + 1e-9).sum(1).astype(np.int16)
+
+
 def may_repeat(x: np.ndarray, y: np.ndarray, similarity: float, least: int) -> np.ndarray:
     """Which pairs of places may lie in or beside a passage of least words and that similarity, by x and y (a row for each pair): bytes of the 2 * AROUND shingles around either place, 0 where the text has none.
 
@@ -274,10 +287,9 @@ def may_repeat(x: np.ndarray, y: np.ndarray, similarity: float, least: int) -> n
     """
     upto, share, least_size = _missing(x, y), similarity / (1 + similarity), least - SHINGLE + 1
     most = min(AROUND, 2 * least_size + SHINGLE + DRIFT)
-    size = lambda gone, lost: (gone * (1 - share) + share * lost) / (1 - 2 * share)
     found = np.zeros(len(x), bool)
     for gone in range(AROUND):
-        m = max(least_size, math.ceil(size(gone, SHINGLE - 1) - 1e-9) if gone else 0)
+        m = max(least_size, math.ceil(_size(gone, SHINGLE - 1, share) - 1e-9) if gone else 0)
         if m > most:
             break
         found |= (upto[:, m:] - upto[:, :-m] <= gone).any(1)
@@ -285,9 +297,9 @@ def may_repeat(x: np.ndarray, y: np.ndarray, similarity: float, least: int) -> n
     at, step = np.nonzero(found)[0], SHINGLE
     mine, theirs, alike = upto[at], _missing(y[at], x[at]), np.zeros(len(at), bool)
     for m in range(least_size, most + 1, step):
-        gone = (mine[:, m:] - mine[:, :-m]).astype(np.int16)
+        gone = mine[:, m:] - mine[:, :-m]
         lost = theirs[:, m - DRIFT : theirs.shape[1] - DRIFT] - theirs[:, DRIFT : theirs.shape[1] - m + DRIFT]
-        alike |= (size(gone, np.maximum(lost, (SHINGLE - 1) * (gone > 0))) <= m + step - 1 + 1e-9).any(1)
+        alike |= (lost < _most_lost(m + step - 1, x.shape[1], share)[gone]).any(1)
     found[at] = alike
     return found
 
@@ -315,11 +327,18 @@ def pairs_in_blocks(units: DataFrame, similarity: float, least: int) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            some = [np.zeros((0, 6), np.int64)]
+            some, open_ = [np.zeros((0, 6), np.int64)], []
+
+            def settle(open_: list = open_, some: list = some) -> None:
+                x, y, one, two = (np.concatenate(v) for v in zip(*open_, strict=True))
+                may = may_repeat(x, y, similarity, least)
+                one, two = one[may], two[may]
+                later = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
+                some.append(np.where(later[:, None], np.concatenate([one, two], 1), np.concatenate([two, one], 1)))
+                open_.clear()
+
             for r in batch.itertuples(index=False):
                 apart = (r.alabel[:, None] != r.blabel) & ((r.aid[:, None] != r.bid) | (r.ah[:, None] != r.bh))
-                if all(np.array_equal(*sides) for sides in ((r.aid, r.bid), (r.ah, r.bh), (r.aat, r.bat))):
-                    apart = np.triu(apart)
                 # Pairs that have a lesser key in common meet under it.
                 lesser = np.concatenate([r.aothers, r.bothers])
                 place = np.repeat(np.arange(len(r.aid) + len(r.bid)), np.concatenate([r.amany, r.bmany]))[lesser < r.key]
@@ -330,11 +349,12 @@ def pairs_in_blocks(units: DataFrame, similarity: float, least: int) -> DataFram
                 x, y = r.aaround.view(np.uint8).reshape(len(r.aid), -1), r.baround.view(np.uint8).reshape(len(r.bid), -1)
                 for k in range(0, len(i), 1024):
                     p, q = i[k : k + 1024], j[k : k + 1024]
-                    may = may_repeat(x[p], y[q], similarity, least)
-                    p, q = p[may], q[may]
                     one, two = (np.stack([v.astype(np.int64) for v in side], 1) for side in ((r.aid[p], r.ah[p], r.aat[p]), (r.bid[q], r.bh[q], r.bat[q])))
-                    later = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
-                    some.append(np.where(later[:, None], np.concatenate([one, two], 1), np.concatenate([two, one], 1)))
+                    open_.append((x[p], y[q], one, two))
+                    if sum(len(v[2]) for v in open_) >= 1024:
+                        settle()
+            if open_:
+                settle()
             yield pd.DataFrame(np.unique(np.concatenate(some), axis=0), columns=[x.split()[0] for x in schema.split(", ")]).astype({"at": np.int32, "rat": np.int32})
 
     return block_pairs(units.withColumn("many", F.size("others")), 64, "id", "h", "at", "label", "around", "others", "many").mapInPandas(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -11,6 +11,8 @@ import xxhash
 CHUNK = 1 << 22
 _PAD = bytes(40)
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: The first 0 to 8 bytes of eight.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: 1: white space as str.split() has it, 2: the first byte of a character that may be some.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 1
@@ -49,16 +51,36 @@ def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return data, start, end, bound
 
 
+def _lanes(data: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The eight bytes of data that begin at each place, as a number."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).__getitem__
+
+
+def numbers_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes [start, end) of data for each word, in less time than hashes_of() takes."""
+    lane, size = _lanes(data), end - start
+    h = _scattered((lane(start) & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _P3)
+    for k in range(8, 32, 8):
+        i = np.flatnonzero(size > k)
+        if len(i):
+            h[i] = _scattered(h[i] * _P1 + (lane(start[i] + k) & _MASK[np.minimum(size[i] - k, 8)]))
+    for k in np.flatnonzero(size > 32).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]].tobytes())
+    return h
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _P2
+    return x ^ (x >> np.uint64(29))
+
+
 def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """xxhash.xxh64_intdigest() of the bytes [start, end) of data for each word; data goes on for 32 bytes after the last."""
 
-    def lane(at: np.ndarray) -> np.ndarray:
-        return rows[at].view("<u8").ravel()
-
     def turned(x: np.ndarray, by: int) -> np.ndarray:
         return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
-    rows = np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1), writeable=False)
+    lane = _lanes(data)
     size = end - start
     h = size.astype(np.uint64) + _P5
     for k in range(3):
